@@ -8,6 +8,7 @@ an aggregate, which counts the distinct bindings of all variables.
 from __future__ import annotations
 
 import operator
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -109,6 +110,16 @@ def bindings(rule: Rule, frames: list[DataFrame], negated: list[DataFrame], firs
     return grouped(rule.aggs, out) if rule.aggs else out
 
 
+def _reducer(fn: Callable) -> Callable:
+    import pandas as pd
+
+    def reducer(s):
+        return fn(s)
+
+    reducer.__annotations__ = {"s": pd.Series, "return": float}
+    return reducer
+
+
 def grouped(aggs: tuple[Agg, ...], df: DataFrame) -> DataFrame:
     df = df.distinct()
     by = [F.col(_v(v.name)) for v in aggs[0].by]
@@ -118,13 +129,7 @@ def grouped(aggs: tuple[Agg, ...], df: DataFrame) -> DataFrame:
         if isinstance(a.fn, str):
             cols.append(_AGGS[a.fn](value).alias(_v(a.out.name)))
         else:
-            import pandas as pd
-
-            def reducer(s: pd.Series, fn=a.fn):
-                return fn(s)
-
-            reducer.__annotations__ = {"s": pd.Series, "return": float}
-            cols.append(F.pandas_udf(reducer, a.returns)(value).alias(_v(a.out.name)))
+            cols.append(F.pandas_udf(_reducer(a.fn), a.returns)(value).alias(_v(a.out.name)))
     if by:
         return df.groupBy(*by).agg(*cols)
     if all(isinstance(a.fn, str) for a in aggs):
