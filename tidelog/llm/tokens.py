@@ -15,22 +15,14 @@ from collections.abc import Callable, Iterable
 
 #: Chunks of up to 16 characters kept by one worker; about 130 MB.
 MEMO = 600_000
+LONGEST = 16
 _CHUNK = re.compile(r"\s*\S+|\s+")
+#: Marks that no merge joins to an ASCII letter before them.
+_MARKS = ".,!?;:%&$*#|"
 _ODD = re.compile(r"[\x1c-\x1f]")  # white space to Python only
 _loaded: dict[str, Callable[[Iterable[str]], list[bytes]]] = {}
 
 
-class _Both(dict):
-    """Looks in ``rest`` for what ``memo`` hasn't."""
-
-    def __init__(self, memo: dict, rest: dict):
-        super().__init__(rest)
-        self.memo = memo
-
-    def __missing__(self, key):
-        return self.memo[key]
-
-
 def in_groups(texts: list[str], chars: int = 1 << 20) -> Iterable[list[str]]:
     """``texts`` in runs of about ``chars`` characters, so that what is held at once is bounded."""
     group, held = [], 0
@@ -44,6 +36,23 @@ def in_groups(texts: list[str], chars: int = 1 << 20) -> Iterable[list[str]]:
         yield group
 
 
+class _Memo(dict):
+    """Chunks to their ids; a new chunk is encoded when it is first asked for."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.encode = tokenizer.encode_batch_fast
+
+    def __missing__(self, chunk: str) -> bytes:
+        word = chunk.rstrip(_MARKS)
+        if word != chunk and word and word[-1].isascii() and word[-1].isalpha():
+            return self[word] + self[chunk[len(word) :]]
+        ids = array("I", self.encode([chunk], add_special_tokens=False)[0].ids).tobytes()
+        if len(self) < MEMO and len(chunk) <= LONGEST:
+            self[chunk] = ids
+        return ids
+
+
 def default_path(name: str) -> str:
     import public_tokenizers
 
@@ -53,7 +62,7 @@ def default_path(name: str) -> str:
 def encoder(path: str, drops_space: bool) -> Callable[[list[str]], list[bytes]]:
     """A function from texts to their ids as little-endian unsigned 32-bit integers.
 
-    ``drops_space``: the vocabulary ignores white space, so chunks needn't hold it.
+    ``drops_space``: the vocabulary ignores white space and case, so chunks needn't hold them.
     """
     if (path, drops_space) in _loaded:
         return _loaded[path, drops_space]
@@ -61,26 +70,17 @@ def encoder(path: str, drops_space: bool) -> Callable[[list[str]], list[bytes]]:
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
-    memo: dict[str, bytes] = {}
-
-    def ids_of(texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+    memo = _Memo(tok)
 
     def chunks(text: str) -> list[str]:
         if _ODD.search(text):
             return [text]
-        return text.split() if drops_space else _CHUNK.findall(text)
+        if drops_space:  # and case
+            return (text.lower() if text.isascii() else text).split()
+        return _CHUNK.findall(text)
 
     def encode(texts: list[str]) -> list[bytes]:
-        split = [chunks(t) for t in texts]
-        new = list({p for parts in split for p in parts if p not in memo})
-        known = memo
-        if new:
-            fresh = dict(zip(new, ids_of(new), strict=True))
-            if len(memo) < MEMO:
-                memo.update((k, v) for k, v in fresh.items() if len(k) <= 16)
-            known = _Both(memo, fresh)
-        return [b"".join(map(known.__getitem__, parts)) for parts in split]
+        return [b"".join(map(memo.__getitem__, chunks(t))) for t in texts]
 
     _loaded[path, drops_space] = encode
     return encode
