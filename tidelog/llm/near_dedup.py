@@ -5,14 +5,14 @@ smallest doc_id goes on. Every representative has ``SKETCH`` minwise tokens. In
 it starts at the root and follows, node by node, the token at a place that the node chooses: similar sets choose the
 same child with a probability of their similarity. Nodes of one document end; nodes of up to ``small`` documents are
 compared exhaustively by their sketches; larger ones branch again, up to ``depth`` times, and what is then still
-too large is dealt in blocks that all hold the node's first documents as pivots. In a small node a document proposes the
-partners that look similar enough, in a fixed order (the node's best connected documents first), ``step`` of
-them in each round; proposals are confirmed on the full sets and joined to components, and rounds go on until no node
-proposes a pair across components that it hasn't proposed before. So no group emits all its pairs and no pair that a
-node finds is left out.
+too large is dealt in blocks that all hold the node's first documents as pivots. In a small node a document proposes
+``step`` partners that look similar enough, the node's best connected documents first; proposals are confirmed on the full
+sets and joined to components. Documents that then still have a possible partner in another component of their node
+are brought together with their texts, node by node, and all such pairs are tried on the full sets. So no group
+emits all its pairs and no pair that a node finds is left out.
 
 A pair at similarity 0.85 shares a child with probability 0.85 in each tree, so with trees that end after one or two nodes it is
-missed with a probability of (1 - 0.85 ** 2) ** 8 < 1e-4 by eight of them. ASCII letters are lower-cased; null and empty texts have empty
+missed with a probability of (1 - 0.85 ** 2) ** 6 < 5e-4 by six of them. ASCII letters are lower-cased; null and empty texts have empty
 sets, are linked with nothing and stay; fewer words than ``width`` are one shingle; null doc_ids come last and repeated
 rows are of one class; an empty table gives no rows.
 """
@@ -150,59 +150,116 @@ def small_nodes(reps: DataFrame, trees: int, small: int, depth: int, pivots: int
     return save(out, "near-nodes")
 
 
-def proposals(nodes: DataFrame, turn: int, step: int, low: float, ratio: float) -> DataFrame:
-    """Pairs (a, b), a < b, of one turn across components, and ``later``: pairs of coming turns. ``nodes`` have ``comp``."""
-
-    def of_node(ids, n, sig, comp):
-        m = len(ids)
-        if m < 2 or (comp == comp[0]).all():
-            return [], 0
-        like = np.zeros((m, m), np.int16)
-        for k in range(SKETCH):
-            like += sig[:, k, None] == sig[None, :, k]
-        fits = (like >= low * SKETCH) & (np.minimum(n[:, None], n) >= ratio * np.maximum(n[:, None], n))
-        np.fill_diagonal(fits, False)
-        hub = np.where(fits, like, 0).sum(axis=0)
-        by_hub = np.argsort(-hub, kind="stable")
-        place = np.empty(m, np.int64)
-        place[by_hub] = np.arange(m)
-        # two best connected documents first, then the most alike
-        rank = np.where(fits, np.where(place[None, :] < 2, 10_000, like.astype(np.int64)) * 65_536 - place[None, :], -(2**62))
-        order = np.argsort(-rank, axis=1, kind="stable")
-        pairs, later = [], 0
-        for i in range(m):
-            row = order[i, : int(fits[i].sum())]
-            own = row[turn * step : (turn + 1) * step]
-            pairs += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in own if comp[j] != comp[i]]
-            later += int((comp[row[(turn + 1) * step :]] != comp[i]).sum())
-        return pairs, later
+def _by_node(batches):
+    """Frames of whole nodes from batches sorted by (tree, node), with the places where nodes begin."""
+    held = None
+    for pdf in batches:
+        pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+        if not len(pdf):
+            continue
+        tree, node = pdf["tree"].to_numpy(), pdf["node"].to_numpy()
+        cuts = np.flatnonzero((tree[1:] != tree[:-1]) | (node[1:] != node[:-1])) + 1
+        last = int(cuts[-1]) if len(cuts) else 0
+        held = pdf.iloc[last:]
+        if last:
+            yield pdf.iloc[:last], [0, *cuts.tolist()]
+    if held is not None and len(held):
+        yield held, [0, len(held)]
+
+
+def _alike(n, sig, comp, low: float, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    """Equal tokens of all pairs of a node, and which pairs may be linked and aren't in one component yet."""
+    m = len(n)
+    like = np.zeros((m, m), np.int16)
+    for k in range(SKETCH):
+        like += sig[:, k, None] == sig[None, :, k]
+    fits = (like >= low * SKETCH) & (np.minimum(n[:, None], n) >= ratio * np.maximum(n[:, None], n)) & (comp[:, None] != comp)
+    return like, fits
+
+
+def _node_rows(pdf):
+    return pdf["id"].to_numpy(), pdf["n"].to_numpy(), _sigs(pdf["sig"]), pdf["comp"].to_numpy()
+
+
+def _dealt(nodes: DataFrame) -> DataFrame:
+    return nodes.repartition("tree", "node").sortWithinPartitions("tree", "node", "id")
+
+
+def proposals(nodes: DataFrame, step: int, low: float, ratio: float) -> DataFrame:
+    """Pairs (a, b), a < b: of each document the partners to try first, ``step`` at most in each node."""
 
     def run(batches):
-        held = None
-        for pdf in batches:
-            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            if not len(pdf):
-                continue
-            cuts = np.flatnonzero((pdf["tree"].to_numpy()[1:] != pdf["tree"].to_numpy()[:-1]) | (pdf["node"].to_numpy()[1:] != pdf["node"].to_numpy()[:-1])) + 1
-            last = cuts[-1] if len(cuts) else 0
-            held = pdf.iloc[last:]
-            yield from found(pdf.iloc[:last], cuts[:-1])
-        if held is not None and len(held):
-            yield from found(held, [])
-
-    def found(pdf, cuts):
-        if not len(pdf):
-            return
-        out, later = [], 0
-        ids, n, comp, sig = pdf["id"].to_numpy(), pdf["n"].to_numpy(), pdf["comp"].to_numpy(), _sigs(pdf["sig"])
-        for a, b in zip([0, *cuts], [*cuts, len(pdf)], strict=True):
-            pairs, more = of_node(ids[a:b], n[a:b], sig[a:b], comp[a:b])
-            out += pairs
-            later += more
-        out = sorted(set(out))
-        yield pd.DataFrame({"a": [x[0] for x in out] + [-1], "b": [x[1] for x in out] + [-1], "later": [0] * len(out) + [later]})
+        for pdf, cuts in _by_node(batches):
+            ids, n, sig, comp = _node_rows(pdf)
+            out = set()
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if b - a < 2:
+                    continue
+                like, fits = _alike(n[a:b], sig[a:b], comp[a:b], low, ratio)
+                if not fits.any():
+                    continue
+                hub = np.argsort(-np.where(fits, like, 0).sum(axis=0), kind="stable")[:2]
+                rank = np.where(fits, like.astype(np.int32), -1)
+                rank[:, hub] = np.where(fits[:, hub], SKETCH + 1, -1)  # the best connected first, then the most alike
+                order = np.argsort(-rank, axis=1, kind="stable")[:, :step]
+                for i in np.flatnonzero(fits.any(axis=1)):
+                    out |= {(min(ids[a + i], ids[a + j]), max(ids[a + i], ids[a + j])) for j in order[i] if fits[i, j]}
+            yield pd.DataFrame(sorted(out), columns=["a", "b"], dtype=np.int64)
+
+    return _dealt(nodes).mapInPandas(run, "a long, b long").distinct()
+
+
+def undecided(nodes: DataFrame, low: float, ratio: float) -> DataFrame:
+    """The rows of ``nodes`` that still have a possible partner in another component."""
+
+    def run(batches):
+        for pdf, cuts in _by_node(batches):
+            _, n, sig, comp = _node_rows(pdf)
+            keep = np.zeros(len(pdf), bool)
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if b - a > 1 and (comp[a:b] != comp[a]).any():
+                    keep[a:b] = _alike(n[a:b], sig[a:b], comp[a:b], low, ratio)[1].any(axis=1)
+            yield pdf[keep]
+
+    return _dealt(nodes).mapInPandas(run, nodes.schema)
+
+
+def exhaust(rows: DataFrame, texts: DataFrame, width: int, percent: int, low: float) -> DataFrame:
+    """Links (a, b) within the nodes of ``rows``: all possible pairs on their full sets, but for those joined meanwhile."""
 
-    return nodes.repartition("tree", "node").sortWithinPartitions("tree", "node", "id").mapInPandas(run, "a long, b long, later long")
+    def run(batches):
+        for pdf, cuts in _by_node(batches):
+            ids, n, sig, comp = _node_rows(pdf)
+            out = []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                like, fits = _alike(n[a:b], sig[a:b], comp[a:b], low, percent / 100)
+                name = {c: c for c in comp[a:b].tolist()}
+
+                def root(c, name=name):
+                    while name[c] != c:
+                        c = name[c]
+                    return c
+
+                sets: dict[int, np.ndarray] = {}
+                own = pdf["text"].iloc[a:b].tolist()
+                i, j = np.nonzero(np.triu(fits))
+                for k in np.argsort(-like[i, j], kind="stable"):
+                    x, y = int(i[k]), int(j[k])
+                    rx, ry = root(int(comp[a + x])), root(int(comp[a + y]))
+                    if rx == ry:
+                        continue
+                    for q in (x, y):
+                        if q not in sets:
+                            sets[q] = shingles(own[q], width)
+                    both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                    if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
+                        out.append((min(ids[a + x], ids[a + y]), max(ids[a + x], ids[a + y])))
+                        name[max(rx, ry)] = min(rx, ry)
+            yield pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+    filt = save(key_filter(rows.select("id"), "id"), "near-filter")
+    used = maybe_in(texts, "id", filt).filter("__maybe").select("id", "text")
+    return _dealt(rows.join(used, "id")).mapInPandas(run, "a long, b long").distinct()
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -240,8 +297,21 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
-def near_groups(docs: DataFrame, width: int = 3, percent: int = 85, trees: int = 8, small: int = 1024, depth: int = 6, pivots: int = 32, step: int = 8) -> DataFrame:
-    """rid (the order of the rows), doc_id, n_shingles, component_id and kept for every row of ``docs``; needs doc_id and text."""
+def near_groups(docs: DataFrame, **options: int) -> DataFrame:
+    """rid (the order of the rows), doc_id, n_shingles, component_id and kept for every row of ``docs``; needs doc_id and text.
+
+    ``options``: see :func:`_near_groups`.
+    """
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    conf.set(key, "500")  # rows with whole texts: what a worker holds at once stays small
+    try:
+        return _near_groups(docs, **options)
+    finally:
+        conf.set(key, before)
+
+
+def _near_groups(docs: DataFrame, width: int = 3, percent: int = 85, trees: int = 6, small: int = 512, depth: int = 6, pivots: int = 32, step: int = 8) -> DataFrame:
     carry = "rid" if "rid" in docs.columns else None
     rows = columns(docs, doc_id="long", text="string", **({"rid": "long"} if carry else {}))
     rows = rows if carry else rows.withColumn("rid", F.monotonically_increasing_id())
@@ -252,20 +322,18 @@ def near_groups(docs: DataFrame, width: int = 3, percent: int = 85, trees: int =
     reps = classes.filter("n > 0").select(F.col("lead.rid").alias("id"), "n", "sig")
     nodes = small_nodes(reps, trees, small, depth, pivots)
     texts = rows.select(F.col("rid").alias("id"), "text")
-    links, label, turn = None, None, 0
-    low = percent / 100 - 4.5 * (percent * (100 - percent) / 1e4 / SKETCH) ** 0.5
-    while True:
-        named = nodes.withColumn("comp", F.col("id")) if label is None else nodes.join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        found = save(proposals(named, turn, step, low, percent / 100), "near-pairs")
-        later = found.agg(F.sum("later")).first()[0] or 0
-        pairs = save(found.filter("a >= 0").select("a", "b").distinct(), "near-pairs")
-        if not pairs.isEmpty():
-            new = save(confirm(pairs, texts, width, percent), "near-confirmed")
-            links = new if links is None else links.unionByName(new)
-            label = components(links)
-        turn += 1
-        if not later:
-            break
+    ratio = percent / 100
+    low = ratio - 3 * (ratio * (1 - ratio) / SKETCH) ** 0.5
+    pairs = save(proposals(nodes.withColumn("comp", F.col("id")), step, low, ratio), "near-pairs")
+    label = None
+    if not pairs.isEmpty():
+        links = save(confirm(pairs, texts, width, percent), "near-confirmed")
+        label = components(links)
+        named = nodes.join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        rest = save(undecided(named, low, ratio), "near-undecided")
+        if not rest.isEmpty():
+            more = save(exhaust(rest, texts, width, percent, low), "near-confirmed")
+            label = components(links.unionByName(more))
     # ids of rows to ids of documents: a component is named by its smallest lead
     leads = classes.select("digest", F.col("lead.rid").alias("id"), "lead", "n")
     if label is not None:
