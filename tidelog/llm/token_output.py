@@ -42,9 +42,9 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     pos = np.arange(blocks) * BLOCK
     end = np.minimum(pos + BLOCK, n)
     choice = np.full(n, 14, np.int8)  # the best selector for a word that starts at each id
-    bits = np.ones(n, np.int8)
-    for b in sorted({b for _, b in LAYOUT.values()}):
-        bits[v >> np.uint64(b) > 0] = b + 1
+    tops_of = np.array([(1 << b) - 1 for b in sorted({b for _, b in LAYOUT.values()})], np.uint64)
+    widths = np.array([*sorted({b for _, b in LAYOUT.values()}), 61], np.int8)
+    bits = widths[np.searchsorted(tops_of, v)]
     left = np.minimum(BLOCK, n - np.arange(n) // BLOCK * BLOCK) - np.arange(n) % BLOCK
     reach, span = bits.copy(), 1  # the widest of the ids from each place on
     tops = {1: bits}

@@ -13,8 +13,8 @@ import re
 from array import array
 from collections.abc import Callable, Iterable
 
-#: Chunks of up to 16 characters kept by one worker; about 130 MB.
-MEMO = 600_000
+#: Chunks of up to 16 characters kept by one worker; about 200 MB.
+MEMO = 1_000_000
 LONGEST = 16
 _CHUNK = re.compile(r"\s*\S+|\s+")
 #: Marks that no merge joins to an ASCII letter before them.
