@@ -349,7 +349,7 @@ def _near_groups(docs: DataFrame, width: int = 3, percent: int = 85, trees: int
 def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` of which one of each component stays, with all their columns."""
     kept = save(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("rid")), "near-rows")
-    found = near_groups(kept.select("rid", "row.doc_id", "row.text"), width=width, percent=percent)
+    found = near_groups(kept.select("rid", "row.doc_id", "row.text"), width=width, percent=percent, step=3)  # fewer pairs at once; undecided nodes decide the rest
     gone = save(found.filter("not kept").select("rid"), "near-gone")
     tested = maybe_in(kept, "rid", save(key_filter(gone, "rid"), "near-filter"))
     rows = tested.filter("not __maybe").select("row").unionByName(tested.filter("__maybe").join(gone, "rid", "left_anti").select("row"))
