@@ -34,13 +34,32 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+#: For each :func:`settle` under way, the tables saved since it began.
+_passing: list[list[str]] = []
+
+
 def save(df: DataFrame, tag: str, **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and return it as read back (lineage ends there)."""
     path = new_path(df.sparkSession, tag)
+    if _passing:
+        _passing[-1].append(path)
     df.write.options(**{"compression": "zstd", **options}).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settle(spark: SparkSession, tag: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The frame that ``build`` returns, saved; the tables saved while building it are deleted, as only it reads them."""
+    _passing.append([])
+    try:
+        built = build()
+    finally:
+        used = _passing.pop()
+    out = save(built, tag)
+    for path in map(spark.sparkContext._jvm.org.apache.hadoop.fs.Path, used):
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return out
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import WS, key_filter, maybe_in, new_path, save
+from tidelog.llm.common import WS, key_filter, maybe_in, new_path, save, settle
 
 BLOOM = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": "200000"}
 
@@ -114,7 +114,8 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     index = LsmDigestIndex(docs.sparkSession)
     index.add(docs)
-    gone = save(index.lookup().filter("key != keep").select(F.col("key.batch").alias("batch"), F.col("key.rid").alias("rid")), "lsm-gone")
+    lost = lambda: index.lookup().filter("key != keep").select(F.col("key.batch").alias("batch"), F.col("key.rid").alias("rid"))
+    gone = settle(docs.sparkSession, "lsm-gone", lost)  # the index is done with; its runs stay
     rows = index.rows().select("row", F.col("key.batch").alias("batch"), F.col("key.rid").alias("rid"))
     tested = maybe_in(rows, "rid", save(key_filter(gone, "rid"), "lsm-filter"))
     kept = tested.filter("not __maybe").select("row").unionByName(tested.filter("__maybe").join(gone, ["batch", "rid"], "left_anti").select("row"))

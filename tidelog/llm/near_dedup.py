@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import columns, key_filter, maybe_in, save
+from tidelog.llm.common import columns, key_filter, maybe_in, save, settle
 
 SKETCH = 64
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -147,7 +147,7 @@ def small_nodes(reps: DataFrame, trees: int, small: int, depth: int, pivots: int
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return save(out, "near-nodes")
+    return out
 
 
 def _by_node(batches):
@@ -320,20 +320,20 @@ def _near_groups(docs: DataFrame, width: int = 3, percent: int = 85, trees: int
     lead = F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("doc_id"), F.col("rid").alias("rid"))).alias("lead")
     classes = save(sk.groupBy("digest").agg(lead, F.first("n").alias("n"), F.first("sig").alias("sig")), "near-classes")
     reps = classes.filter("n > 0").select(F.col("lead.rid").alias("id"), "n", "sig")
-    nodes = small_nodes(reps, trees, small, depth, pivots)
+    nodes = settle(docs.sparkSession, "near-nodes", lambda: small_nodes(reps, trees, small, depth, pivots))
     texts = rows.select(F.col("rid").alias("id"), "text")
     ratio = percent / 100
     low = ratio - 3 * (ratio * (1 - ratio) / SKETCH) ** 0.5
     pairs = save(proposals(nodes.withColumn("comp", F.col("id")), step, low, ratio), "near-pairs")
     label = None
     if not pairs.isEmpty():
-        links = save(confirm(pairs, texts, width, percent), "near-confirmed")
-        label = components(links)
+        links = settle(docs.sparkSession, "near-confirmed", lambda: confirm(pairs, texts, width, percent))
+        label = settle(docs.sparkSession, "near-components", lambda: components(links))
         named = nodes.join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
         rest = save(undecided(named, low, ratio), "near-undecided")
         if not rest.isEmpty():
-            more = save(exhaust(rest, texts, width, percent, low), "near-confirmed")
-            label = components(links.unionByName(more))
+            more = settle(docs.sparkSession, "near-confirmed", lambda: exhaust(rest, texts, width, percent, low))
+            label = settle(docs.sparkSession, "near-components", lambda: components(links.unionByName(more)))
     # ids of rows to ids of documents: a component is named by its smallest lead
     leads = classes.select("digest", F.col("lead.rid").alias("id"), "lead", "n")
     if label is not None:
@@ -349,8 +349,9 @@ def _near_groups(docs: DataFrame, width: int = 3, percent: int = 85, trees: int
 def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` of which one of each component stays, with all their columns."""
     kept = save(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("rid")), "near-rows")
-    found = near_groups(kept.select("rid", "row.doc_id", "row.text"), width=width, percent=percent, step=3)  # fewer pairs at once; undecided nodes decide the rest
-    gone = save(found.filter("not kept").select("rid"), "near-gone")
+    # three partners at first: fewer pairs at once; undecided nodes decide the rest
+    found = lambda: near_groups(kept.select("rid", "row.doc_id", "row.text"), width=width, percent=percent, step=3)
+    gone = settle(docs.sparkSession, "near-gone", lambda: found().filter("not kept").select("rid"))
     tested = maybe_in(kept, "rid", save(key_filter(gone, "rid"), "near-filter"))
     rows = tested.filter("not __maybe").select("row").unionByName(tested.filter("__maybe").join(gone, "rid", "left_anti").select("row"))
     return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
