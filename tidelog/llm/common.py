@@ -60,6 +60,19 @@ def settle(spark: SparkSession, tag: str, build: Callable[[], DataFrame]) -> Dat
     return out
 
 
+#: Rows with whole texts in one Arrow batch.
+BATCH = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``BATCH`` rows from now on: with whole texts in them they bound what a task holds outside
+    the heap. The setting stays, because a frame is planned only after its operator has returned it; a smaller one is kept."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if not 0 < now <= BATCH:
+        spark.conf.set(key, str(BATCH))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import columns, key_filter, maybe_in, save, settle
+from tidelog.llm.common import columns, key_filter, maybe_in, save, settle, small_batches
 
 SKETCH = 64
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -297,21 +297,9 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
-def near_groups(docs: DataFrame, **options: int) -> DataFrame:
-    """rid (the order of the rows), doc_id, n_shingles, component_id and kept for every row of ``docs``; needs doc_id and text.
-
-    ``options``: see :func:`_near_groups`.
-    """
-    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = conf.get(key)
-    conf.set(key, "500")  # rows with whole texts: what a worker holds at once stays small
-    try:
-        return _near_groups(docs, **options)
-    finally:
-        conf.set(key, before)
-
-
-def _near_groups(docs: DataFrame, width: int = 3, percent: int = 85, trees: int = 6, small: int = 512, depth: int = 6, pivots: int = 32, step: int = 8) -> DataFrame:
+def near_groups(docs: DataFrame, width: int = 3, percent: int = 85, trees: int = 6, small: int = 512, depth: int = 6, pivots: int = 32, step: int = 8) -> DataFrame:
+    """rid (the order of the rows), doc_id, n_shingles, component_id and kept for every row of ``docs``; needs doc_id and text."""
+    small_batches(docs.sparkSession)
     carry = "rid" if "rid" in docs.columns else None
     rows = columns(docs, doc_id="long", text="string", **({"rid": "long"} if carry else {}))
     rows = rows if carry else rows.withColumn("rid", F.monotonically_increasing_id())

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import columns, save
+from tidelog.llm.common import columns, save, small_batches
 from tidelog.llm.tokens import default_path, encoder, in_groups
 
 CAPACITY = 2048
@@ -261,5 +261,6 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, grain: int = 2) -> DataFrame:
 
 def pack_documents(docs: DataFrame, vocabulary: str | None = None, end_id: int = 0, capacity: int = CAPACITY, grain: int = 2, with_ids: bool = False) -> DataFrame:
     """The pieces of ``docs`` and their places: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    small_batches(docs.sparkSession)
     cut = save(pieces(docs, vocabulary, end_id, capacity, with_ids), "pack-pieces")
     return pack(cut, capacity, grain)

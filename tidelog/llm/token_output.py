@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import columns, new_path
+from tidelog.llm.common import columns, new_path, small_batches
 from tidelog.llm.tokens import default_path, encoder, in_groups
 
 #: Selector: (ids in a word, bits of each), fixed values of the format.
@@ -180,6 +180,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 
 def token_digest(docs: DataFrame, vocabulary: str | None = None, end_id: int = 2) -> DataFrame:
     """Write the token files of ``docs`` to the shared folder and read them back."""
+    small_batches(docs.sparkSession)
     path = new_path(docs.sparkSession, "token-files")
     write_token_files(docs, path, vocabulary, end_id)
     return read_token_files(docs.sparkSession, path)

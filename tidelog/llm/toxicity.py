@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import columns
+from tidelog.llm.common import columns, small_batches
 
 SIZES = (3, 4, 5)
 DIMS = 1 << 20
@@ -130,6 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, longest: in
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` (needs text) as a struct ``row``, with ``score`` and ``predicted``."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # DIMS places
 
     def scored(batches):
@@ -149,6 +150,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of ``docs``."""
     model = train(docs, labels)
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches):
