@@ -40,7 +40,7 @@ class _Words(dict):
 
     def __missing__(self, word: bytes) -> int:
         h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        if len(self) < 400_000 and len(word) <= 24:
+        if len(self) < 100_000 and len(word) <= 24:
             self[word] = h
         return h
 

@@ -39,7 +39,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, end_id: int = 0, capa
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches):
-        encode = encoder(vocabulary, drops_space=True)
+        encode = encoder(vocabulary, drops_space=True, most=400_000)
         for pdf in batches:
             numbers = iter(pdf["doc_id"].astype("Int64"))
             for group in in_groups(pdf["text"].tolist()):

@@ -13,7 +13,7 @@ import re
 from array import array
 from collections.abc import Callable, Iterable
 
-#: Chunks of up to 16 characters kept by one worker; about 200 MB.
+#: Chunks of up to 16 characters kept by one worker; about 200 MB a million.
 MEMO = 1_000_000
 LONGEST = 16
 _CHUNK = re.compile(r"\s*\S+|\s+")
@@ -39,8 +39,9 @@ def in_groups(texts: list[str], chars: int = 1 << 20) -> Iterable[list[str]]:
 class _Memo(dict):
     """Chunks to their ids; a new chunk is encoded when it is first asked for."""
 
-    def __init__(self, tokenizer):
+    def __init__(self, tokenizer, most: int):
         super().__init__()
+        self.most = most
         self.encode = tokenizer.encode_batch_fast
 
     def __missing__(self, chunk: str) -> bytes:
@@ -48,7 +49,7 @@ class _Memo(dict):
         if word != chunk and word and word[-1].isascii() and word[-1].isalpha():
             return self[word] + self[chunk[len(word) :]]
         ids = array("I", self.encode([chunk], add_special_tokens=False)[0].ids).tobytes()
-        if len(self) < MEMO and len(chunk) <= LONGEST:
+        if len(self) < self.most and len(chunk) <= LONGEST:
             self[chunk] = ids
         return ids
 
@@ -59,10 +60,10 @@ def default_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def encoder(path: str, drops_space: bool) -> Callable[[list[str]], list[bytes]]:
+def encoder(path: str, drops_space: bool, most: int = MEMO) -> Callable[[list[str]], list[bytes]]:
     """A function from texts to their ids as little-endian unsigned 32-bit integers.
 
-    ``drops_space``: the vocabulary ignores white space and case, so chunks needn't hold them.
+    ``drops_space``: the vocabulary ignores white space and case, so chunks needn't hold them. ``most``: chunks kept.
     """
     if (path, drops_space) in _loaded:
         return _loaded[path, drops_space]
@@ -70,7 +71,7 @@ def encoder(path: str, drops_space: bool) -> Callable[[list[str]], list[bytes]]:
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
-    memo = _Memo(tok)
+    memo = _Memo(tok, most)
 
     def chunks(text: str) -> list[str]:
         if _ODD.search(text):
