@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelog.llm import exact_dedup, licenses, mixing, near_dedup, packing, quality, secrets, sharding, token_output, toxicity
-from tidelog.llm.tokens import default_path
+from tidelog.llm.tokens import default_path, encoder
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -83,6 +84,11 @@ def test_token_files(spark, docs, none, tmp_path):
     for r in sorted(got, key=lambda r: r.start):
         assert r.start == at
         at += r.n_tokens
+    pick = random.Random(4)
+    parts = "a B é don't 's ' \n \t , . !? - _ 1 23 ½ ² ß \u0301 <|endoftext|> | <| endoftext \xa0 \u3000 \x1c \x85 中 ب 🙂 ǅ ª µ × ɐ \x00 ( \" #".split(" ") + [" ", "  "]
+    texts = ["".join(pick.choices(parts, k=pick.randrange(14))) for _ in range(3000)]
+    own = encoder(default_path("byte_bpe_50k.json"), drops_space=False)(texts)
+    assert [np.frombuffer(o, "<u4").tolist() for o in own] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
     rng = np.random.default_rng(1)
     for n, hi in ((0, 2), (1, 2), (1000, 2), (3000, 50257), (700, 2**40), (300, 2**63)):
         v = rng.integers(0, hi, n, dtype=np.uint64)
