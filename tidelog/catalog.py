@@ -42,6 +42,14 @@ def g(spark, d) -> DataFrame:
     return table(spark, d, "lineitem").filter("l_linenumber = 1 AND l_quantity > 49").selectExpr("l_suppkey % 97 AS a", "l_partkey % 97 AS b")
 
 
+#: The whole relation: every row of lineitem, keys as they are.
+WHOLE = "g AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS b FROM lineitem)"
+
+
+def whole(spark, d) -> DataFrame:
+    return table(spark, d, "lineitem").selectExpr("l_suppkey AS a", "l_partkey AS b")
+
+
 def rules(spark, program, schema: str = E2, **facts) -> DataFrame:
     """Run ``program(engine, out, *relations)`` over two-column facts and return ``out``."""
     e = Engine(spark)
@@ -392,6 +400,57 @@ def relation_size(spark, d):
     return spark.createDataFrame([(r.count,)], "n bigint")
 
 
+@query(f"WITH RECURSIVE {WHOLE}, tc AS ({TC.format('g')}) SELECT a, b FROM tc")
+def whole_tc(spark, d):
+    return transitive_closure(whole(spark, d))
+
+
+@query(f"WITH {WHOLE} SELECT DISTINCT p.a, p.b, q.b AS c FROM g p JOIN g q ON p.b = q.a JOIN g r ON q.b = r.a AND r.b = p.a")
+def whole_triangle(spark, d):
+    return rules(spark, lambda e, o, r: e.rule(o(x, y, z), r(x, y), r(y, z), r(z, x)), "a bigint, b bigint, c bigint", g=whole(spark, d))
+
+
+@query(f"WITH {WHOLE}, heavy AS (SELECT a, b FROM g WHERE a > 50), free AS (SELECT a, b FROM g EXCEPT SELECT a, b FROM heavy) SELECT DISTINCT p.a, q.b FROM free p JOIN free q ON p.b = q.a")
+def whole_neg_idb(spark, d):
+    def program(e, o, r):
+        heavy, free = e.relation("heavy", E2), e.relation("free", E2)
+        e.rule(heavy(x, y), r(x, y), x > 50).rule(free(x, y), r(x, y), ~heavy(x, y)).rule(o(x, z), free(x, y), free(y, z))
+
+    return rules(spark, program, g=whole(spark, d))
+
+
+@query(f"WITH {WHOLE} SELECT a, sum(b)::BIGINT AS v, count(b) AS n FROM g GROUP BY a")
+def whole_agg(spark, d):
+    return rules(spark, lambda e, o, r: e.rule(o(x, s, n), r(x, y), agg(s, "sum", y, [x]), agg(n, "count", y, [x])), "a bigint, v bigint, n bigint", g=whole(spark, d))
+
+
+@query(f"WITH {WHOLE} SELECT a, b FROM g WHERE a NOT IN (SELECT b FROM g)")
+def whole_antijoin(spark, d):
+    it = core.Iteration(spark)
+    src, out = it.variable("src", E2).insert(whole(spark, d)), it.variable("out", E2)
+    keys = whole(spark, d).select("b").distinct()
+    while it.changed():
+        out.from_antijoin(src, keys)
+    return out.complete()
+
+
+@query(f"WITH {WHOLE} SELECT DISTINCT p.a, p.b, q.b AS c FROM g p JOIN g q ON p.b = q.a JOIN g r ON r.a = p.a AND r.b = q.b")
+def whole_leap_intersect(spark, d):
+    df = whole(spark, d).distinct()
+    it = core.Iteration(spark)
+    src, out = it.variable("src", E2).insert(df), it.variable("out", "a bigint, b bigint, c bigint")
+    r = core.RelationLeaper(df)
+    while it.changed():
+        out.from_leapjoin(src, [r.extend_with(lambda a, b: b), r.extend_with(lambda a, b: a)], lambda a, b, v: (a, b, v))
+    return out.complete()
+
+
+# no SQL: the pairs grow with the square of the customers
+@query()
+def whole_same_generation(spark, d):
+    return rules(spark, lambda e, o, r: e.rule(o(x, y), r(x, z), r(y, z)).rule(o(x, y), r(x, z), o(z, w), r(y, w)), h=hier(spark, d))
+
+
 def partitions(k: int) -> list[list[list[int]]]:
     """Set partitions of 0..k-1 without singletons."""
 
