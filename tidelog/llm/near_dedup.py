@@ -1,7 +1,7 @@
 """Near-duplicates by a chosen-path set similarity join.
 
 A document's set is its distinct shingles of ``width`` words. Texts with equal sets form one class, and only the class's
-smallest doc_id goes on. Every representative has ``SKETCH`` minwise tokens. In each of ``trees`` independent trees
+smallest doc_id goes on. Every representative has ``SKETCH`` minwise tokens. In each of ``trees`` independent trees, or more,
 it starts at the root and follows, node by node, the token at a place that the node chooses: similar sets choose the
 same child with a probability of their similarity. Nodes of one document end; nodes of up to ``small`` documents are
 compared exhaustively by their sketches; larger ones branch again, up to ``depth`` times, and what is then still
@@ -11,15 +11,18 @@ sets and joined to components. Documents that then still have a possible partner
 are brought together with their texts, node by node, and all such pairs are tried on the full sets. So no group
 emits all its pairs and no pair that a node finds is left out.
 
-A pair at similarity 0.85 shares a child with probability 0.85 in each tree, so with trees that end after one or two nodes it is
-missed with a probability of (1 - 0.85 ** 2) ** 6 < 5e-4 by six of them. ASCII letters are lower-cased; null and empty texts have empty
+A pair at similarity s shares a child with probability s, so a tree whose last node is ``n`` tokens down finds it with s ** n. From the
+deepest level that a document reached follows how many trees find a partner at the threshold with probability ``target``, the sketch
+filter included; documents that had fewer go on in more trees. ASCII letters are lower-cased; null and empty texts have empty
 sets, are linked with nothing and stay; fewer words than ``width`` are one shingle; null doc_ids come last and repeated
 rows are of one class; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
@@ -102,19 +105,18 @@ def _sigs(column) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint32).reshape(-1, SKETCH)
 
 
-def paths(reps: DataFrame, trees: int) -> DataFrame:
-    """The first node below the root of every tree, a row each."""
+def paths(reps: DataFrame, first: int, trees: int) -> DataFrame:
+    """The first node below the root, a row each, of ``trees`` trees from number ``first``: of each document the first ``more``."""
 
     def run(batches):
         for pdf in batches:
-            if not len(pdf):
-                continue
-            sig = _sigs(pdf["sig"])
             for t in range(trees):
-                root = _mix(np.full(len(pdf), t + 1, np.uint64), 3)
-                yield pdf.assign(tree=t, node=_child(root, sig).view(np.int64))
+                part = pdf[pdf["more"] > t].drop(columns="more")
+                if len(part):
+                    root = _mix(np.full(len(part), first + t + 1, np.uint64), 3)
+                    yield part.assign(tree=first + t, node=_child(root, _sigs(part["sig"])).view(np.int64))
 
-    return reps.select("id", "n", "sig").mapInPandas(run, "id long, n long, sig binary, tree int, node long")
+    return reps.select("id", "n", "sig", "more").mapInPandas(run, "id long, n long, sig binary, tree int, node long")
 
 
 def branch(rows: DataFrame) -> DataFrame:
@@ -126,9 +128,26 @@ def branch(rows: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, rows.schema)
 
 
-def small_nodes(reps: DataFrame, trees: int, small: int, depth: int, pivots: int) -> DataFrame:
-    """Rows (id, n, sig, node) of nodes with 2 to about ``small`` documents."""
-    rows, done = save(paths(reps, trees), "near-paths"), []
+def recall(level: int, trees: int, ratio: float, low: float) -> float:
+    """How likely a pair at ``ratio`` passes the sketch filter and goes ``level`` tokens together in one of ``trees`` trees."""
+    k = np.arange(math.ceil(low * SKETCH - 1e-9), SKETCH + 1)  # equal tokens
+    has = np.array([math.comb(SKETCH, int(i)) for i in k], float) * ratio**k * (1 - ratio) ** (SKETCH - k)
+    return float((has * (1 - (1 - (k / SKETCH) ** level) ** trees)).sum())
+
+
+def needed(level: int, ratio: float, low: float, target: float) -> int:
+    """The number of trees that reaches ``target`` for documents whose last nodes are ``level`` tokens down at most."""
+    if recall(0, 1, ratio, low) <= target:
+        raise ValueError(f"the sketch filter alone keeps {recall(0, 1, ratio, low):.4f} of the pairs, target {target}")
+    n = 1
+    while recall(level, n, ratio, low) < target:
+        n += 1
+    return n
+
+
+def grow(reps: DataFrame, first: int, trees: int, small: int, depth: int, pivots: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Nodes of ``trees`` trees from number ``first``: rows (id, n, sig, tree, node), and (id, tree) of those that branched."""
+    rows, done, sunk = save(paths(reps, first, trees), "near-paths"), [], []
     for level in range(depth + 1):
         sizes = rows.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
         rows = save(rows.join(sizes, ["tree", "node"]), f"near-level{level}")
@@ -137,17 +156,44 @@ def small_nodes(reps: DataFrame, trees: int, small: int, depth: int, pivots: int
         if large.isEmpty():
             break
         if level < depth:
+            sunk.append(large.select("id", "tree"))
             rows = branch(large.drop("size"))
         else:
-            block = F.expr(f"pmod(xxhash64(id, tree), cast(ceil(size / {small - pivots}) as int))")
-            first = large.select("tree", "node", "size", F.struct("id", "n", "sig").alias("p")).groupBy("tree", "node", "size").agg(F.slice(F.sort_array(F.collect_set(F.when(F.col("p.id") % F.greatest(F.lit(1), F.floor(F.col("size") / (4 * pivots))) == 0, F.col("p")))), 1, pivots).alias("p"))
-            blocks = first.select("tree", "node", F.explode("p").alias("p"), F.explode(F.sequence(F.lit(0), (F.ceil(F.col("size") / (small - pivots)) - 1).cast("int"))).alias("b"))
-            dealt = large.withColumn("b", block).select("id", "n", "sig", "tree", "node", "b").unionByName(blocks.select("p.id", "p.n", "p.sig", "tree", "node", "b")).dropDuplicates(["id", "tree", "node", "b"])
-            done.append(dealt.withColumn("node", F.xxhash64("node", "b")).drop("b"))
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+            done.append(dealt(large, small, pivots))
+    return done, sunk
+
+
+def dealt(large: DataFrame, small: int, pivots: int) -> DataFrame:
+    """Blocks of the nodes in ``large``, all with their node's pivots."""
+    block = F.expr(f"pmod(xxhash64(id, tree), cast(ceil(size / {small - pivots}) as int))")
+    first = large.select("tree", "node", "size", F.struct("id", "n", "sig").alias("p")).groupBy("tree", "node", "size").agg(F.slice(F.sort_array(F.collect_set(F.when(F.col("p.id") % F.greatest(F.lit(1), F.floor(F.col("size") / (4 * pivots))) == 0, F.col("p")))), 1, pivots).alias("p"))
+    blocks = first.select("tree", "node", F.explode("p").alias("p"), F.explode(F.sequence(F.lit(0), (F.ceil(F.col("size") / (small - pivots)) - 1).cast("int"))).alias("b"))
+    rows = large.withColumn("b", block).select("id", "n", "sig", "tree", "node", "b").unionByName(blocks.select("p.id", "p.n", "p.sig", "tree", "node", "b")).dropDuplicates(["id", "tree", "node", "b"])
+    return rows.withColumn("node", F.xxhash64("node", "b")).drop("b")
+
+
+def small_nodes(reps: DataFrame, trees: int, small: int, depth: int, pivots: int, ratio: float, low: float, target: float) -> DataFrame:
+    """Rows (id, n, sig, tree, node, tried) of nodes with 2 to about ``small`` documents; tried: of the first trees.
+
+    Documents whose deepest node so far makes ``target`` need more trees than they had go on in as many more. The deepest counts for all
+    trees of a document: those that end early do so by rare tokens, which its partners share less often. A pair of which one
+    document stops has met the target by that one's nodes alone."""
+    need = F.element_at(F.array(*[F.lit(needed(k, ratio, low, target)) for k in range(1, depth + 2)]), F.col("level").cast("int"))
+    at = max(trees, needed(1, ratio, low, target))
+    reps, first, out, sunk = reps.withColumn("had", F.lit(at)).withColumn("more", F.lit(at)), 0, [], []
+    while True:
+        done, large = grow(reps, first, at, small, depth, pivots)
+        out += [d.withColumn("tried", F.lit(first == 0)) for d in done]
+        sunk += large
+        if not sunk:
+            break
+        deepest = functools.reduce(DataFrame.unionByName, sunk).groupBy("id", "tree").agg((F.count(F.lit(1)) + 1).alias("level")).groupBy("id").agg(F.max("level").alias("level"))
+        reps = reps.drop("more").join(deepest, "id").withColumn("more", need - F.col("had")).filter("more > 0")
+        reps = save(reps.select("id", "n", "sig", (F.col("had") + F.col("more")).alias("had"), "more"), "near-unmet")
+        first, at = first + at, reps.agg(F.max("more")).first()[0]
+        if not at:
+            break
+    return functools.reduce(DataFrame.unionByName, out)
 
 
 def _by_node(batches):
@@ -297,7 +343,7 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
-def near_groups(docs: DataFrame, width: int = 3, percent: int = 85, trees: int = 6, small: int = 512, depth: int = 6, pivots: int = 32, step: int = 8) -> DataFrame:
+def near_groups(docs: DataFrame, width: int = 3, percent: int = 85, trees: int = 6, small: int = 512, depth: int = 6, pivots: int = 32, step: int = 8, target: float = 0.99) -> DataFrame:
     """rid (the order of the rows), doc_id, n_shingles, component_id and kept for every row of ``docs``; needs doc_id and text."""
     small_batches(docs.sparkSession)
     carry = "rid" if "rid" in docs.columns else None
@@ -308,13 +354,14 @@ def near_groups(docs: DataFrame, width: int = 3, percent: int = 85, trees: int =
     lead = F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("doc_id"), F.col("rid").alias("rid"))).alias("lead")
     classes = save(sk.groupBy("digest").agg(lead, F.first("n").alias("n"), F.first("sig").alias("sig")), "near-classes")
     reps = classes.filter("n > 0").select(F.col("lead.rid").alias("id"), "n", "sig")
-    nodes = settle(docs.sparkSession, "near-nodes", lambda: small_nodes(reps, trees, small, depth, pivots))
-    texts = rows.select(F.col("rid").alias("id"), "text")
     ratio = percent / 100
     low = ratio - 3 * (ratio * (1 - ratio) / SKETCH) ** 0.5
-    pairs = save(proposals(nodes.withColumn("comp", F.col("id")), step, low, ratio), "near-pairs")
+    nodes = settle(docs.sparkSession, "near-nodes", lambda: small_nodes(reps, trees, small, depth, pivots, ratio, low, target))
+    texts = rows.select(F.col("rid").alias("id"), "text")
+    tried, nodes = nodes.filter("tried").drop("tried"), nodes.drop("tried")
+    pairs = save(proposals(tried.withColumn("comp", F.col("id")), step, low, ratio), "near-pairs")
     label = None
-    if not pairs.isEmpty():
+    if not (pairs.isEmpty() and nodes.isEmpty()):
         links = settle(docs.sparkSession, "near-confirmed", lambda: confirm(pairs, texts, width, percent))
         label = settle(docs.sparkSession, "near-components", lambda: components(links))
         named = nodes.join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
