@@ -27,3 +27,8 @@ def share(spark, rows, close, **how):
 def test_deep_trees(spark):
     rows, close = family(1, 100, 100)
     assert len(close) == 100 and share(spark, rows, close, small=16, depth=10, pivots=4) >= 0.97
+
+
+def test_large_last_nodes(spark):
+    rows, close = family(2, 40, 60)
+    assert share(spark, rows, close, small=16, depth=1, pivots=4) >= 0.97

@@ -4,8 +4,8 @@ A document's set is its distinct shingles of ``width`` words. Texts with equal s
 smallest doc_id goes on. Every representative has ``SKETCH`` minwise tokens. In each of ``trees`` independent trees, or more,
 it starts at the root and follows, node by node, the token at a place that the node chooses: similar sets choose the
 same child with a probability of their similarity. Nodes of one document end; nodes of up to ``small`` documents are
-compared exhaustively by their sketches; larger ones branch again, up to ``depth`` times, and what is then still
-too large is dealt in blocks that all hold the node's first documents as pivots. In a small node a document proposes
+compared exhaustively by their sketches; larger ones branch again, up to ``depth`` times, and of what is then still
+too large every two blocks are compared with each other, after first links by blocks that all hold the node's first documents as pivots. In a small node a document proposes
 ``step`` partners that look similar enough, the node's best connected documents first; proposals are confirmed on the full
 sets and joined to components. Documents that then still have a possible partner in another component of their node
 are brought together with their texts, node by node, and all such pairs are tried on the full sets. So no group
@@ -146,12 +146,16 @@ def needed(level: int, ratio: float, low: float, target: float) -> int:
 
 
 def grow(reps: DataFrame, first: int, trees: int, small: int, depth: int, pivots: int) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Nodes of ``trees`` trees from number ``first``: rows (id, n, sig, tree, node), and (id, tree) of those that branched."""
+    """Nodes of ``trees`` trees from number ``first``: rows (id, n, sig, tree, node, tried, whole), and (id, tree) of those that branched."""
     rows, done, sunk = save(paths(reps, first, trees), "near-paths"), [], []
+
+    def use(nodes: DataFrame, tried: bool, whole: bool) -> None:
+        done.append(nodes.select("id", "n", "sig", "tree", "node", F.lit(tried).alias("tried"), F.lit(whole).alias("whole")))
+
     for level in range(depth + 1):
         sizes = rows.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
         rows = save(rows.join(sizes, ["tree", "node"]), f"near-level{level}")
-        done.append(rows.filter(F.col("size") <= small).select("id", "n", "sig", "tree", "node"))
+        use(rows.filter(F.col("size") <= small), first == 0, True)
         large = rows.filter(F.col("size") > small)
         if large.isEmpty():
             break
@@ -159,12 +163,14 @@ def grow(reps: DataFrame, first: int, trees: int, small: int, depth: int, pivots
             sunk.append(large.select("id", "tree"))
             rows = branch(large.drop("size"))
         else:
-            done.append(dealt(large, small, pivots))
+            if first == 0:
+                use(dealt(large, small, pivots), True, False)
+            use(block_pairs(large, small), False, True)
     return done, sunk
 
 
 def dealt(large: DataFrame, small: int, pivots: int) -> DataFrame:
-    """Blocks of the nodes in ``large``, all with their node's pivots."""
+    """Blocks of the nodes in ``large``, all with their node's pivots: for first links only, as pairs of blocks don't meet."""
     block = F.expr(f"pmod(xxhash64(id, tree), cast(ceil(size / {small - pivots}) as int))")
     first = large.select("tree", "node", "size", F.struct("id", "n", "sig").alias("p")).groupBy("tree", "node", "size").agg(F.slice(F.sort_array(F.collect_set(F.when(F.col("p.id") % F.greatest(F.lit(1), F.floor(F.col("size") / (4 * pivots))) == 0, F.col("p")))), 1, pivots).alias("p"))
     blocks = first.select("tree", "node", F.explode("p").alias("p"), F.explode(F.sequence(F.lit(0), (F.ceil(F.col("size") / (small - pivots)) - 1).cast("int"))).alias("b"))
@@ -172,8 +178,17 @@ def dealt(large: DataFrame, small: int, pivots: int) -> DataFrame:
     return rows.withColumn("node", F.xxhash64("node", "b")).drop("b")
 
 
+def block_pairs(large: DataFrame, small: int) -> DataFrame:
+    """The nodes in ``large`` as groups of two blocks of about ``small`` documents each, so that all pairs of a node meet."""
+    last = F.ceil(F.col("size") / small).cast("int") - 1
+    rows = large.withColumn("b", F.expr(f"pmod(xxhash64(id, tree, 1), cast(ceil(size / {small}) as int))"))
+    rows = rows.withColumn("c", F.explode(F.filter(F.sequence(F.lit(0), last), lambda c: c != F.col("b"))))
+    return rows.select("id", "n", "sig", "tree", F.xxhash64("node", F.least("b", "c"), F.greatest("b", "c")).alias("node"))
+
+
 def small_nodes(reps: DataFrame, trees: int, small: int, depth: int, pivots: int, ratio: float, low: float, target: float) -> DataFrame:
-    """Rows (id, n, sig, tree, node, tried) of nodes with 2 to about ``small`` documents; tried: of the first trees.
+    """Rows (id, n, sig, tree, node, tried, whole) of nodes with 2 to about ``small`` documents, or twice as many in pairs of blocks; tried:
+    for proposals; whole: one of the groups in which all pairs of their nodes meet.
 
     Documents whose deepest node so far makes ``target`` need more trees than they had go on in as many more. The deepest counts for all
     trees of a document: those that end early do so by rare tokens, which its partners share less often. A pair of which one
@@ -183,7 +198,7 @@ def small_nodes(reps: DataFrame, trees: int, small: int, depth: int, pivots: int
     reps, first, out, sunk = reps.withColumn("had", F.lit(at)).withColumn("more", F.lit(at)), 0, [], []
     while True:
         done, large = grow(reps, first, at, small, depth, pivots)
-        out += [d.withColumn("tried", F.lit(first == 0)) for d in done]
+        out += done
         sunk += large
         if not sunk:
             break
@@ -358,7 +373,7 @@ def near_groups(docs: DataFrame, width: int = 3, percent: int = 85, trees: int =
     low = ratio - 3 * (ratio * (1 - ratio) / SKETCH) ** 0.5
     nodes = settle(docs.sparkSession, "near-nodes", lambda: small_nodes(reps, trees, small, depth, pivots, ratio, low, target))
     texts = rows.select(F.col("rid").alias("id"), "text")
-    tried, nodes = nodes.filter("tried").drop("tried"), nodes.drop("tried")
+    tried, nodes = nodes.filter("tried").drop("tried", "whole"), nodes.filter("whole").drop("tried", "whole")
     pairs = save(proposals(tried.withColumn("comp", F.col("id")), step, low, ratio), "near-pairs")
     label = None
     if not (pairs.isEmpty() and nodes.isEmpty()):
