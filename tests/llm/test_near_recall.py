@@ -32,3 +32,54 @@ def test_deep_trees(spark):
 def test_large_last_nodes(spark):
     rows, close = family(2, 40, 60)
     assert share(spark, rows, close, small=16, depth=1, pivots=4) >= 0.97
+
+
+def brute(texts: dict, width: int = 3, percent: int = 85) -> dict:
+    """Component of each document: links of all pairs that share a shingle, then a flood."""
+    import re
+    from collections import Counter, defaultdict
+
+    sets, holds = {}, defaultdict(list)
+    for i, t in sorted(texts.items()):
+        w = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[i] = {tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set()
+    links = defaultdict(set)
+    for j, s in sets.items():
+        both = Counter(i for g in s for i in holds[g])
+        for i, n in both.items():
+            if 100 * n >= percent * (len(s) + len(sets[i]) - n):
+                links[i].add(j), links[j].add(i)
+        for g in s:
+            holds[g].append(j)
+    out = {}
+    for i in sets:  # ascending
+        if i not in out:
+            out[i], todo = i, [i]
+            while todo:
+                for k in links[todo.pop()] - out.keys():
+                    out[k] = i
+                    todo.append(k)
+    return out
+
+
+def test_recall_on_documents(spark):
+    """Whole documents of sf0.001 at the query's parameters, with extra columns of the operator's own names."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = brute({r.doc_id: r.text for r in docs.select("doc_id", "text").collect()})
+    clash = docs.select("*", *[F.lit(None).cast("long").alias(c) for c in ("rid", "id", "n", "comp", "tree", "node", "digest", "Text", "size")])
+    got = {r.doc_id: r.component_id for r in near_dedup.near_groups(clash).collect()}
+    assert sum(a != b for a, b in want.items()) > 0
+    print("recall of members outside their own name:", sum(got[i] == c for i, c in want.items() if c != i) / sum(c != i for i, c in want.items()))
+    assert got == want
+
+
+def test_one_large_group(spark):
+    """1200 different texts, all at 0.886 of each other or more, are one component, and a lone text stays alone."""
+    words = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join([*words[:194], *(f"x{i}y{k}" for k in range(6))])) for i in range(1200)] + [(1205, "other words only"), (1206, None), (1206, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = near_dedup.near_groups(df, small=64, depth=2, pivots=8).collect()
+    assert len(found) == len(rows)
+    assert {r.component_id for r in found if r.doc_id < 1200} == {0} and sum(r.kept for r in found) == 4

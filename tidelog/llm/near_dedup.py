@@ -4,10 +4,13 @@ A document's set is its distinct shingles of ``width`` words. Texts with equal s
 smallest doc_id goes on. Every representative has ``SKETCH`` minwise tokens. In each of ``trees`` independent trees, or more,
 it starts at the root and follows, node by node, the token at a place that the node chooses: similar sets choose the
 same child with a probability of their similarity. Nodes of one document end; nodes of up to ``small`` documents are
-compared exhaustively by their sketches; larger ones branch again, up to ``depth`` times, and of what is then still
-too large every two blocks are compared with each other, after first links by blocks that all hold the node's first documents as pivots. In a small node a document proposes
-``step`` partners that look similar enough, the node's best connected documents first; proposals are confirmed on the full
-sets and joined to components. Documents that then still have a possible partner in another component of their node
+compared exhaustively by their sketches; larger ones branch again, up to ``depth`` times. What is then still
+too large gets first links by blocks that all hold the same few documents as pivots. In a block or small node a document
+proposes two partners that look similar enough: the node's hub (of the well connected documents the first by a hash, so that
+trees agree on it) and the one most like itself. Proposals are confirmed on the full
+sets and joined to components. Then all pairs are accounted for: in a node that stayed large the documents outside its
+most frequent component meet every block of the node (those inside are linked already), and documents that still have a
+possible partner in another component of their node
 are brought together with their texts, node by node, and all such pairs are tried on the full sets. So no group
 emits all its pairs and no pair that a node finds is left out.
 
@@ -15,7 +18,7 @@ A pair at similarity s shares a child with probability s, so a tree whose last n
 deepest level that a document reached follows how many trees find a partner at the threshold with probability ``target``, the sketch
 filter included; documents that had fewer go on in more trees. ASCII letters are lower-cased; null and empty texts have empty
 sets, are linked with nothing and stay; fewer words than ``width`` are one shingle; null doc_ids come last and repeated
-rows are of one class; an empty table gives no rows.
+rows are of one class; an empty table gives no rows; very long texts are shingled whole; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import columns, key_filter, maybe_in, save, settle, small_batches
+from tidelog.llm.common import Box, columns, key_filter, maybe_in, save, settle, small_batches, with_null, without_null
 
 SKETCH = 64
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -82,12 +85,10 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                 s = shingles(text, width)
                 key = s.tobytes() if len(s) else b"empty" + int(rid).to_bytes(8, "little")
                 rows.append((len(s), hashlib.blake2b(key, digest_size=16).digest(), minwise(s).tobytes()))
-            out = pd.DataFrame(rows, columns=["n", "digest", "sig"])
-            out.insert(0, "rid", pdf["rid"].to_numpy())
-            out.insert(1, "doc_id", pdf["doc_id"].astype("Int64"))
-            yield out
+            yield pd.concat([pdf.drop(columns="text"), pd.DataFrame(rows, columns=["n", "digest", "sig"])], axis=1)
 
-    return docs.mapInPandas(run, "rid long, doc_id long, n long, digest binary, sig binary")
+    rows = without_null(docs.select("rid", "doc_id", "text"))
+    return with_null(rows.mapInPandas(run, "rid long, doc_id long, __null boolean, n long, digest binary, sig binary"))
 
 
 def _mix(a: np.ndarray, b) -> np.ndarray:
@@ -145,50 +146,57 @@ def needed(level: int, ratio: float, low: float, target: float) -> int:
     return n
 
 
-def grow(reps: DataFrame, first: int, trees: int, small: int, depth: int, pivots: int) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Nodes of ``trees`` trees from number ``first``: rows (id, n, sig, tree, node, tried, whole), and (id, tree) of those that branched."""
+def grow(reps: DataFrame, first: int, trees: int, small: int, depth: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """The last nodes of ``trees`` trees from number ``first`` as rows (id, n, sig, tree, node, size, first), and (id, tree) of
+    those that branched; size: 0 of small nodes; first: of the first trees."""
     rows, done, sunk = save(paths(reps, first, trees), "near-paths"), [], []
-
-    def use(nodes: DataFrame, tried: bool, whole: bool) -> None:
-        done.append(nodes.select("id", "n", "sig", "tree", "node", F.lit(tried).alias("tried"), F.lit(whole).alias("whole")))
-
+    own = lambda df, size: df.select("id", "n", "sig", "tree", "node", size.cast("long").alias("size"), F.lit(first == 0).alias("first"))
     for level in range(depth + 1):
         sizes = rows.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
         rows = save(rows.join(sizes, ["tree", "node"]), f"near-level{level}")
-        use(rows.filter(F.col("size") <= small), first == 0, True)
+        done.append(own(rows.filter(F.col("size") <= small), F.lit(0)))
         large = rows.filter(F.col("size") > small)
         if large.isEmpty():
             break
-        if level < depth:
+        if level == depth:
+            done.append(own(large, F.col("size")))
+        else:
             sunk.append(large.select("id", "tree"))
             rows = branch(large.drop("size"))
-        else:
-            if first == 0:
-                use(dealt(large, small, pivots), True, False)
-            use(block_pairs(large, small), False, True)
     return done, sunk
 
 
 def dealt(large: DataFrame, small: int, pivots: int) -> DataFrame:
-    """Blocks of the nodes in ``large``, all with their node's pivots: for first links only, as pairs of blocks don't meet."""
+    """Blocks of the nodes in ``large``, all with their node's pivots: for first links only, as pairs of blocks don't meet.
+
+    Pivots are the first by a hash, of about four times as many that another hash picks, so a node sends a bounded number.
+    """
     block = F.expr(f"pmod(xxhash64(id, tree), cast(ceil(size / {small - pivots}) as int))")
-    first = large.select("tree", "node", "size", F.struct("id", "n", "sig").alias("p")).groupBy("tree", "node", "size").agg(F.slice(F.sort_array(F.collect_set(F.when(F.col("p.id") % F.greatest(F.lit(1), F.floor(F.col("size") / (4 * pivots))) == 0, F.col("p")))), 1, pivots).alias("p"))
-    blocks = first.select("tree", "node", F.explode("p").alias("p"), F.explode(F.sequence(F.lit(0), (F.ceil(F.col("size") / (small - pivots)) - 1).cast("int"))).alias("b"))
+    picked = large.filter(F.expr(f"pmod(xxhash64(id, tree, 2), size) < {4 * pivots}"))
+    ranked = F.struct(F.xxhash64("id", "tree", F.lit(3)).alias("h"), "id", "n", "sig").alias("p")
+    held = picked.select("tree", "node", "size", ranked).groupBy("tree", "node", "size").agg(F.slice(F.sort_array(F.collect_list("p")), 1, pivots).alias("p"))
+    blocks = held.select("tree", "node", F.explode("p").alias("p"), F.explode(F.sequence(F.lit(0), (F.ceil(F.col("size") / (small - pivots)) - 1).cast("int"))).alias("b"))
     rows = large.withColumn("b", block).select("id", "n", "sig", "tree", "node", "b").unionByName(blocks.select("p.id", "p.n", "p.sig", "tree", "node", "b")).dropDuplicates(["id", "tree", "node", "b"])
     return rows.withColumn("node", F.xxhash64("node", "b")).drop("b")
 
 
 def block_pairs(large: DataFrame, small: int) -> DataFrame:
-    """The nodes in ``large`` as groups of two blocks of about ``small`` documents each, so that all pairs of a node meet."""
-    last = F.ceil(F.col("size") / small).cast("int") - 1
-    rows = large.withColumn("b", F.expr(f"pmod(xxhash64(id, tree, 1), cast(ceil(size / {small}) as int))"))
-    rows = rows.withColumn("c", F.explode(F.filter(F.sequence(F.lit(0), last), lambda c: c != F.col("b"))))
-    return rows.select("id", "n", "sig", "tree", F.xxhash64("node", F.least("b", "c"), F.greatest("b", "c")).alias("node"))
-
-
-def small_nodes(reps: DataFrame, trees: int, small: int, depth: int, pivots: int, ratio: float, low: float, target: float) -> DataFrame:
-    """Rows (id, n, sig, tree, node, tried, whole) of nodes with 2 to about ``small`` documents, or twice as many in pairs of blocks; tried:
-    for proposals; whole: one of the groups in which all pairs of their nodes meet.
+    """Groups of two blocks of the nodes in ``large`` (with comp), so that every document outside its node's most frequent
+    component meets all documents of the node: ``small`` of those outside with ``small`` of all."""
+    counts = large.groupBy("tree", "node", "comp").agg(F.count(F.lit(1)).alias("k"))
+    main = counts.groupBy("tree", "node").agg(F.max(F.struct("k", "comp")).alias("main"))
+    rows = large.join(main, ["tree", "node"]).withColumn("out", F.col("comp") != F.col("main.comp")).withColumn("outside", F.col("size") - F.col("main.k")).filter("outside > 0")
+    of = lambda seed, n: F.expr(f"pmod(xxhash64(id, tree, {seed}), cast(ceil({n} / {small}) as int))")
+    every = lambda n: F.sequence(F.lit(0), (F.ceil(F.col(n) / small) - 1).cast("int"))
+    own = ["id", "n", "sig", "tree", "node"]
+    at_home = rows.withColumn("b", of(1, "size")).select(*own, "b", F.explode(every("outside")).alias("c"))
+    visits = rows.filter("out").withColumn("c", of(2, "outside")).select(*own, "c", "size").select(*own, F.explode(every("size")).alias("b"), "c")
+    met = at_home.unionByName(visits).dropDuplicates(["id", "tree", "node", "b", "c"])
+    return met.select("id", "n", "sig", "tree", F.xxhash64("node", "b", "c").alias("node"))
+
+
+def last_nodes(reps: DataFrame, trees: int, small: int, depth: int, ratio: float, low: float, target: float) -> DataFrame:
+    """Rows (id, n, sig, tree, node, size, first) of all trees' last nodes of two or more documents; size: 0 of nodes up to ``small``.
 
     Documents whose deepest node so far makes ``target`` need more trees than they had go on in as many more. The deepest counts for all
     trees of a document: those that end early do so by rare tokens, which its partners share less often. A pair of which one
@@ -197,7 +205,7 @@ def small_nodes(reps: DataFrame, trees: int, small: int, depth: int, pivots: int
     at = max(trees, needed(1, ratio, low, target))
     reps, first, out, sunk = reps.withColumn("had", F.lit(at)).withColumn("more", F.lit(at)), 0, [], []
     while True:
-        done, large = grow(reps, first, at, small, depth, pivots)
+        done, large = grow(reps, first, at, small, depth)
         out += done
         sunk += large
         if not sunk:
@@ -246,8 +254,8 @@ def _dealt(nodes: DataFrame) -> DataFrame:
     return nodes.repartition("tree", "node").sortWithinPartitions("tree", "node", "id")
 
 
-def proposals(nodes: DataFrame, step: int, low: float, ratio: float) -> DataFrame:
-    """Pairs (a, b), a < b: of each document the partners to try first, ``step`` at most in each node."""
+def proposals(nodes: DataFrame, low: float, ratio: float) -> DataFrame:
+    """Pairs (a, b), a < b: of each document the partners to try first, the hub of its node and the document most like it."""
 
     def run(batches):
         for pdf, cuts in _by_node(batches):
@@ -257,14 +265,15 @@ def proposals(nodes: DataFrame, step: int, low: float, ratio: float) -> DataFram
                 if b - a < 2:
                     continue
                 like, fits = _alike(n[a:b], sig[a:b], comp[a:b], low, ratio)
-                if not fits.any():
+                degree = fits.sum(axis=0)
+                if not degree.any():
                     continue
-                hub = np.argsort(-np.where(fits, like, 0).sum(axis=0), kind="stable")[:2]
-                rank = np.where(fits, like.astype(np.int32), -1)
-                rank[:, hub] = np.where(fits[:, hub], SKETCH + 1, -1)  # the best connected first, then the most alike
-                order = np.argsort(-rank, axis=1, kind="stable")[:, :step]
+                strong = np.flatnonzero(degree >= 0.8 * degree.max())
+                hub = strong[_mix(ids[a + strong].astype(np.uint64), 5).argmin()]
+                closest = np.where(fits, like, -1).argmax(axis=1)
                 for i in np.flatnonzero(fits.any(axis=1)):
-                    out |= {(min(ids[a + i], ids[a + j]), max(ids[a + i], ids[a + j])) for j in order[i] if fits[i, j]}
+                    for j in {int(hub) if fits[i, hub] else int(closest[i]), int(closest[i])}:
+                        out.add((min(ids[a + i], ids[a + j]), max(ids[a + i], ids[a + j])))
             yield pd.DataFrame(sorted(out), columns=["a", "b"], dtype=np.int64)
 
     return _dealt(nodes).mapInPandas(run, "a long, b long").distinct()
@@ -318,7 +327,7 @@ def exhaust(rows: DataFrame, texts: DataFrame, width: int, percent: int, low: fl
                         name[max(rx, ry)] = min(rx, ry)
             yield pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
-    filt = save(key_filter(rows.select("id"), "id"), "near-filter")
+    filt = key_filter(rows.select("id").distinct(), "id", "near-filter")
     used = maybe_in(texts, "id", filt).filter("__maybe").select("id", "text")
     return _dealt(rows.join(used, "id")).mapInPandas(run, "a long, b long").distinct()
 
@@ -337,8 +346,8 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
                 keep.append(100 * both >= percent * (len(s) + len(t) - both))
             yield pdf.loc[keep, ["a", "b"]]
 
-    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    filt = save(key_filter(ends, "id"), "near-filter")
+    ends = save(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "near-ends")
+    filt = key_filter(ends, "id", "near-filter")
     used = save(maybe_in(texts, "id", filt).filter("__maybe").select("id", "text"), "near-texts")
     with_a = pairs.join(used.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
     return with_a.join(used.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").mapInPandas(run, "a long, b long")
@@ -358,32 +367,44 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
-def near_groups(docs: DataFrame, width: int = 3, percent: int = 85, trees: int = 6, small: int = 512, depth: int = 6, pivots: int = 32, step: int = 8, target: float = 0.99) -> DataFrame:
-    """rid (the order of the rows), doc_id, n_shingles, component_id and kept for every row of ``docs``; needs doc_id and text."""
-    small_batches(docs.sparkSession)
-    carry = "rid" if "rid" in docs.columns else None
-    rows = columns(docs, doc_id="long", text="string", **({"rid": "long"} if carry else {}))
-    rows = rows if carry else rows.withColumn("rid", F.monotonically_increasing_id())
-    rows = save(rows.select("rid", "doc_id", "text"), "near-rows") if not carry else rows
+def near_groups(docs: DataFrame, width: int = 3, percent: int = 85, trees: int = 6, small: int = 512, depth: int = 6, pivots: int = 32, target: float = 0.99) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row of ``docs``; needs doc_id and text."""
+    rows = columns(docs, doc_id="long", text="string").withColumn("rid", F.monotonically_increasing_id())
+    found = _numbered_groups(save(rows.select("rid", "doc_id", "text"), "near-rows"), width, percent, trees, small, depth, pivots, target)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _numbered_groups(rows: DataFrame, width: int, percent: int, trees: int = 6, small: int = 512, depth: int = 6, pivots: int = 32, target: float = 0.99) -> DataFrame:
+    """rid, doc_id, n_shingles, component_id and kept for the rows (rid, doc_id, text) of a saved table; rid is unique."""
+    spark = rows.sparkSession
+    small_batches(spark)
     sk = save(sketches(rows, width), "near-sketches")
     lead = F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("doc_id"), F.col("rid").alias("rid"))).alias("lead")
     classes = save(sk.groupBy("digest").agg(lead, F.first("n").alias("n"), F.first("sig").alias("sig")), "near-classes")
     reps = classes.filter("n > 0").select(F.col("lead.rid").alias("id"), "n", "sig")
     ratio = percent / 100
     low = ratio - 3 * (ratio * (1 - ratio) / SKETCH) ** 0.5
-    nodes = settle(docs.sparkSession, "near-nodes", lambda: small_nodes(reps, trees, small, depth, pivots, ratio, low, target))
+    every = settle(spark, "near-nodes", lambda: last_nodes(reps, trees, small, depth, ratio, low, target))
+    nodes, large = every.filter("size = 0").drop("size"), every.filter("size > 0")
+    none_large = large.isEmpty()
     texts = rows.select(F.col("rid").alias("id"), "text")
-    tried, nodes = nodes.filter("tried").drop("tried", "whole"), nodes.filter("whole").drop("tried", "whole")
-    pairs = save(proposals(tried.withColumn("comp", F.col("id")), step, low, ratio), "near-pairs")
+    tried = nodes.filter("first").drop("first")
+    if not none_large:
+        tried = tried.unionByName(dealt(large.filter("first").drop("first"), small, pivots))
+    pairs = save(proposals(tried.withColumn("comp", F.col("id")), low, ratio), "near-pairs")
     label = None
-    if not (pairs.isEmpty() and nodes.isEmpty()):
-        links = settle(docs.sparkSession, "near-confirmed", lambda: confirm(pairs, texts, width, percent))
-        label = settle(docs.sparkSession, "near-components", lambda: components(links))
-        named = nodes.join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    if not every.isEmpty():
+        links = settle(spark, "near-confirmed", lambda: confirm(pairs, texts, width, percent))
+        label = settle(spark, "near-components", lambda: components(links))
+        name = lambda df: df.join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        named = name(nodes.drop("first"))
+        if not none_large:
+            pairs_of_blocks = save(block_pairs(name(large.drop("first")), small), "near-blocks")
+            named = named.unionByName(name(pairs_of_blocks))
         rest = save(undecided(named, low, ratio), "near-undecided")
         if not rest.isEmpty():
-            more = settle(docs.sparkSession, "near-confirmed", lambda: exhaust(rest, texts, width, percent, low))
-            label = settle(docs.sparkSession, "near-components", lambda: components(links.unionByName(more)))
+            more = settle(spark, "near-confirmed", lambda: exhaust(rest, texts, width, percent, low))
+            label = settle(spark, "near-components", lambda: components(links.unionByName(more)))
     # ids of rows to ids of documents: a component is named by its smallest lead
     leads = classes.select("digest", F.col("lead.rid").alias("id"), "lead", "n")
     if label is not None:
@@ -398,10 +419,10 @@ def near_groups(docs: DataFrame, width: int = 3, percent: int = 85, trees: int =
 
 def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` of which one of each component stays, with all their columns."""
-    kept = save(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("rid")), "near-rows")
-    # three partners at first: fewer pairs at once; undecided nodes decide the rest
-    found = lambda: near_groups(kept.select("rid", "row.doc_id", "row.text"), width=width, percent=percent, step=3)
-    gone = settle(docs.sparkSession, "near-gone", lambda: found().filter("not kept").select("rid"))
-    tested = maybe_in(kept, "rid", save(key_filter(gone, "rid"), "near-filter"))
+    box = Box(docs)
+    kept = save(box.rows.select(box.struct().alias("row"), F.monotonically_increasing_id().alias("rid")), "near-rows")
+    rows = kept.select("rid", box.inside("row", "doc_id").cast("long").alias("doc_id"), box.inside("row", "text").cast("string").alias("text"))
+    gone = settle(docs.sparkSession, "near-gone", lambda: _numbered_groups(rows, width, percent).filter("not kept").select("rid"))
+    tested = maybe_in(kept, "rid", key_filter(gone, "rid", "near-filter"))
     rows = tested.filter("not __maybe").select("row").unionByName(tested.filter("__maybe").join(gone, "rid", "left_anti").select("row"))
-    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return rows.select(*box.out("row"))
