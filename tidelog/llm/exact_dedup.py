@@ -1,11 +1,15 @@
 """Exact de-duplication through a log-structured merge index of text digests.
 
-Memtables: every task turns its rows into (digest, row) and flushes them as one run, a Parquet file sorted by
-digest with a Bloom filter on it. Compaction merges runs and the level before it, keeping for each
-digest the smallest identifier and the number of rows. A digest with more than one row is a hit; hits are
+Memtables: rows come in batches, each a memtable that keeps the smallest key and the number of rows for each digest. It is flushed as a
+run, sorted by digest, with a bitmap filter of its digests. Compaction merges the runs of a level into one of the next once
+``fanout`` are there: entries that no other run's filter may hold go over as they are, only the others are shuffled, and of each digest the
+smallest key and all rows are kept. A digest with more than one row is a hit; hits are
 compared byte by byte with the row that stays, and digests that two different texts share are told
 apart by the texts themselves. Only DataFrame functions are used.
 
+Copies of one text are dealt over as many tasks as ``PER_TASK`` rows of a group take, each with the text that stays, so a text that
+a third of all rows share is no task's alone.
+
 Texts are equal when they are identical after each run of ASCII white space is replaced by one space. A null text is the
 empty text. Null doc_ids come after all others; of rows with equal doc_id and text one stays. Very long texts
 are digested whole; an empty table gives no rows; other columns are carried in a struct and can't clash.
@@ -13,14 +17,17 @@ are digested whole; an empty table gives no rows; other columns are carried in a
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import WS, key_filter, maybe_in, new_path, save, settle
+from tidelog.llm.common import WS, Box, KeyFilter, columns, key_filter, maybe_in, new_path, save, save_counted, settle
 
-BLOOM = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": "200000"}
+#: Rows of one group that one task compares.
+PER_TASK = 20_000
 
 
 def normalised(text: Column) -> Column:
@@ -31,92 +38,127 @@ def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+@dataclass
+class Run:
+    """digest, first (the smallest key) and n (rows), sorted by digest, and the filter of its digests."""
+
+    entries: DataFrame
+    holds: KeyFilter
+    level: int
+
+
+def _merged(parts: list[DataFrame]) -> DataFrame:
+    both = functools.reduce(DataFrame.unionByName, parts)
+    return both.groupBy("digest").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
+
+
 class LsmDigestIndex:
-    """Runs of digests in the shared folder, merged level by level.
-
-    ``add`` flushes the memtables of one batch as sorted runs; ``compact`` folds all runs not yet merged into
-    the level, which happens by itself once ``fanout`` batches are waiting; ``lookup`` gives each row its group.
-    """
-
-    def __init__(self, spark: SparkSession, digest: Callable[[Column], Column] = sha256, fanout: int = 8):
-        self.spark, self.digest, self.fanout = spark, digest, fanout
-        self.batches: list[DataFrame] = []
-        self.waiting: list[DataFrame] = []
-        self.level: DataFrame | None = None
-
-    def add(self, docs: DataFrame) -> DataFrame:
-        """Flush one batch (needs doc_id and text); its rows keep their columns in ``row``."""
-        n = len(self.batches)
-        rows = docs.select(
-            self.digest(normalised(F.col("text").cast("string"))).alias("digest"),
-            F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").cast("long").alias("doc_id"), F.lit(n).alias("batch"), F.monotonically_increasing_id().alias("rid")).alias("key"),
-            F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-        )
-        path = new_path(self.spark, "lsm-run")
-        rows.sortWithinPartitions("digest").write.options(compression="zstd", **BLOOM).parquet(path)
-        run = self.spark.read.schema(rows.schema).parquet(path)
-        self.batches.append(run)
-        self.waiting.append(run)
-        if len(self.waiting) >= self.fanout:
-            self.compact()
+    """Runs of digests in the shared folder, merged level by level; ``add`` flushes a memtable, ``compact`` merges all runs to one."""
+
+    def __init__(self, spark: SparkSession, fanout: int = 2):
+        self.spark, self.fanout = spark, fanout
+        self.runs: list[Run] = []
+
+    def add(self, keyed: DataFrame) -> Run:
+        """Flush the memtable of a batch of rows (digest, key)."""
+        table = keyed.groupBy("digest").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n"))
+        run = self._flush(table, 0)
+        level = 0
+        while len(full := [r for r in self.runs if r.level == level]) >= self.fanout:
+            self._merge(full, level + 1)
+            level += 1
         return run
 
+    def _flush(self, entries: DataFrame, level: int) -> Run:
+        entries, count = save_counted(entries.sortWithinPartitions("digest"), f"lsm-run{level}")
+        self.runs.append(Run(entries, key_filter(entries, "digest", "lsm-filter", count), level))
+        return self.runs[-1]
+
+    def _merge(self, runs: list[Run], level: int) -> None:
+        alone, shared = [], []
+        for r in runs:
+            entries = r.entries.withColumn("both", F.lit(False))
+            for other in (x for x in runs if x is not r):
+                entries = maybe_in(entries, "digest", other.holds).withColumn("both", F.col("both") | F.col("__maybe")).drop("__maybe")
+            alone.append(entries.filter("not both").drop("both"))
+            shared.append(entries.filter("both").drop("both"))
+        whole = functools.reduce(DataFrame.unionByName, [*alone, _merged(shared)])
+        self.runs = [r for r in self.runs if r not in runs]
+        self._flush(whole, level)
+
     def compact(self) -> DataFrame:
-        """Merge the waiting runs and the level into a new level: digest, first (smallest key), n (rows)."""
-        parts = [r.select("digest", F.col("key").alias("first"), F.lit(1).cast("long").alias("n")) for r in self.waiting]
-        if self.level is not None:
-            parts.append(self.level)
-        if self.waiting:
-            merged = parts[0]
-            for p in parts[1:]:
-                merged = merged.unionByName(p)
-            merged = merged.groupBy("digest").agg(F.min("first").alias("first"), F.sum("n").alias("n")).sortWithinPartitions("digest")
-            self.level, self.waiting = save(merged, "lsm-level", **BLOOM), []
-        return self.level
-
-    def rows(self) -> DataFrame:
-        out = self.batches[0]
-        for b in self.batches[1:]:
-            out = out.unionByName(b)
-        return out
-
-    def lookup(self) -> DataFrame:
-        """digest, key, keep (the key of the row that stays) and n for every row, hits verified by their bytes."""
-        level, rows = self.compact(), self.rows()
-        many = level.filter("n > 1")
-        filt = save(key_filter(many, "digest"), "lsm-filter")
-        tested = maybe_in(rows.select("digest", "key"), "digest", filt)
-        alone = tested.filter("not __maybe").select("digest", "key", F.col("key").alias("keep"), F.lit(1).cast("long").alias("n"))
-        texts = rows.select("digest", "key", F.col("row.text").cast("string").alias("text"))
-        hits = save(maybe_in(texts, "digest", filt).filter("__maybe").select("digest", "key", normalised(F.col("text")).alias("text")), "lsm-hits")
-        stays = hits.join(many, "digest").filter("key = first").select("digest", "first", "n", F.col("text").alias("__first_text"))
-        seen = hits.join(stays, "digest", "left").select("digest", "key", F.coalesce("first", "key").alias("keep"), F.coalesce("n", F.lit(1)).cast("long").alias("n"), F.coalesce(F.col("text") == F.col("__first_text"), F.lit(True)).alias("same"))
-        seen = save(seen, "lsm-seen")
-        clash = seen.filter("not same").select("digest").distinct()
-        if not clash.isEmpty():  # two texts with one digest: the texts decide
-            exact = hits.join(clash, "digest", "left_semi")
-            groups = exact.groupBy("digest", "text").agg(F.min("key").alias("keep"), F.count(F.lit(1)).alias("n"))
-            exact = exact.join(groups, ["digest", "text"]).select("digest", "key", "keep", "n")
-            seen = seen.join(clash, "digest", "left_anti").select("digest", "key", "keep", "n").unionByName(exact)
-        return alone.unionByName(seen.select("digest", "key", "keep", "n"))
-
-
-def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+        """The entries of all runs, merged to one."""
+        if len(self.runs) > 1:
+            self._merge(list(self.runs), max(r.level for r in self.runs) + 1)
+        return self.runs[0].entries
+
+
+def digested(docs: DataFrame, digest: Callable[[Column], Column], batches: int, box: Box) -> DataFrame:
+    """digest, key (no_id, doc_id, rid: in this order rows stay), row and batch for every row of ``docs``, saved batch by batch."""
+    rows = box.rows.select(
+        digest(normalised(box["text"].cast("string"))).alias("digest"),
+        F.struct(box["doc_id"].isNull().alias("no_id"), box["doc_id"].cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("rid")).alias("key"),
+        box.struct().alias("row"), F.pmod(F.spark_partition_id(), F.lit(batches)).alias("batch"),
+    )
+    path = new_path(docs.sparkSession, "lsm-rows")
+    rows.write.option("compression", "zstd").partitionBy("batch").parquet(path)
+    return docs.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def hits(rows: DataFrame, box: Box, many: DataFrame) -> DataFrame:
+    """digest, key, keep and n of the rows whose digest is in ``many`` (digest, first, n), verified by their bytes."""
+    filt = key_filter(many, "digest", "lsm-filter")
+    texts = rows.select("digest", "key", box.inside("row", "text").cast("string").alias("text"))
+    salts = F.ceil(F.col("n") / PER_TASK).cast("int")
+    hot = many.filter(F.col("n") > PER_TASK).select("digest", salts.alias("salts"))  # at most a row for every PER_TASK rows
+    found = maybe_in(texts, "digest", filt).filter("__maybe").select("digest", "key", normalised(F.col("text")).alias("text"))
+    found = found.join(F.broadcast(hot), "digest", "left").withColumn("salt", F.pmod(F.xxhash64("key.rid"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    found = save(found, "lsm-hits")
+    dealt = many.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    known = save(found.join(dealt, ["digest", "salt"]).select("digest", "salt", "key", "first", "n", "text"), "lsm-known")
+    stays = known.filter("key = first").select("digest", F.col("text").alias("kept_text"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    seen = known.join(stays, ["digest", "salt"]).select("digest", "key", F.col("first").alias("keep"), "n", (F.col("text") == F.col("kept_text")).alias("same"))
+    seen = save(seen, "lsm-seen")
+    clash = seen.filter("not same").select("digest").distinct()
+    if not clash.isEmpty():  # two texts with one digest: the texts decide
+        exact = known.join(clash, "digest", "left_semi")
+        groups = exact.groupBy("digest", "text").agg(F.min("key").alias("keep"), F.count(F.lit(1)).alias("n"))
+        exact = exact.drop("n").join(groups, ["digest", "text"]).select("digest", "key", "keep", "n")
+        seen = seen.join(clash, "digest", "left_anti").select("digest", "key", "keep", "n").unionByName(exact)
+    return seen.select("digest", "key", "keep", "n")
+
+
+def indexed(rows: DataFrame, batches: int, fanout: int) -> DataFrame:
+    """The merged entries of ``rows``, added batch by batch."""
+    index = LsmDigestIndex(rows.sparkSession, fanout)
+    for k in range(batches):
+        index.add(rows.filter(F.col("batch") == k).select("digest", "key"))
+    return index.compact()
+
+
+def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256, batches: int = 4, fanout: int = 2) -> DataFrame:
     """doc_id, keep_id, group_size, kept and text_sha256 (the digest) for every row of ``docs``."""
-    index = LsmDigestIndex(docs.sparkSession, digest)
-    index.add(docs.select("doc_id", "text"))
-    return index.lookup().select(
-        F.col("key.doc_id").alias("doc_id"), F.col("keep.doc_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("key") == F.col("keep")).alias("kept"), F.col("digest").alias("text_sha256")
-    )
+    docs = columns(docs, doc_id="long", text="string")
+    box = Box(docs)
+    rows = digested(docs, digest, batches, box)
+    many = save(indexed(rows, batches, fanout).filter("n > 1"), "lsm-many")
+    alone = maybe_in(rows.select("digest", "key"), "digest", key_filter(many, "digest", "lsm-filter"))
+    lone = alone.filter("__maybe").select("digest", "key").join(many, "digest", "left_anti")  # false alarms of the filter
+    one = alone.filter("not __maybe").select("digest", "key").unionByName(lone).select("digest", "key", F.col("key").alias("keep"), F.lit(1).cast("long").alias("n"))
+    every = one.unionByName(hits(rows, box, many))
+    return every.select(F.col("key.doc_id").alias("doc_id"), F.col("keep.doc_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("key") == F.col("keep")).alias("kept"), F.col("digest").alias("text_sha256"))
+
+
+def drop_exact_copies(docs: DataFrame, batches: int = 4, fanout: int = 2) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns."""
+    box = Box(docs)
+    rows = digested(docs, sha256, batches, box)
 
+    def lost() -> DataFrame:
+        many = save(indexed(rows, batches, fanout).filter("n > 1"), "lsm-many")
+        return hits(rows, box, many).filter("key != keep").select("key.rid")
 
-def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    index = LsmDigestIndex(docs.sparkSession)
-    index.add(docs)
-    lost = lambda: index.lookup().filter("key != keep").select(F.col("key.batch").alias("batch"), F.col("key.rid").alias("rid"))
-    gone = settle(docs.sparkSession, "lsm-gone", lost)  # the index is done with; its runs stay
-    rows = index.rows().select("row", F.col("key.batch").alias("batch"), F.col("key.rid").alias("rid"))
-    tested = maybe_in(rows, "rid", save(key_filter(gone, "rid"), "lsm-filter"))
-    kept = tested.filter("not __maybe").select("row").unionByName(tested.filter("__maybe").join(gone, ["batch", "rid"], "left_anti").select("row"))
-    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    gone = settle(docs.sparkSession, "lsm-gone", lost)  # the index is done with; its rows stay
+    tested = maybe_in(rows.select("row", "key.rid"), "rid", key_filter(gone, "rid", "lsm-filter"))
+    kept = tested.filter("not __maybe").select("row").unionByName(tested.filter("__maybe").join(gone, "rid", "left_anti").select("row"))
+    return kept.select(*box.out("row"))
