@@ -3,7 +3,7 @@
 Each source has a target number of words (weights, capped at ``max_repeat`` times its size, the excess
 shared again) and a weight schedule over training time t in [0, 1]. Its cumulative demand is the integral of the
 schedule; a document whose words lie at q of the source's stream is trained on at the t where
-the demand reaches q. Sorting by t deals the sources' documents into one order.
+the demand reaches q. A range sort by t deals the sources' documents into one order; a document's place in it is its rank.
 
 A source's stream is its documents in a fixed shuffled order (md5 of seed and doc_id), gone through again from
 the start until the target is met; the stream ends inside a document, of which only the first words are taken. Thus every
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import WORD, columns, prefix_sums, save
+from tidelog.llm.common import WORD, Box, columns, prefix_sums, save
 
 WEIGHTS = (5, 2, 1)
 TILTS = (-0.5, 0.0, 0.5)
@@ -61,17 +61,21 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, tilts=TILTS, share: float = 1.0,
     """A row per document: doc_id, source, size, source_size, target, taken, and ``visits``.
 
     ``visits``: an array of (position, words) with one entry for each time that the mix takes the document.
-    An extra column ``__rid`` of ``docs`` is passed through.
     """
-    carry = ["__rid"] if "__rid" in docs.columns else []
-    rows = columns(docs, doc_id="long", text="string", source="string", **{c: "long" for c in carry}).select(
-        "doc_id", "source", *carry,
+    rows = columns(docs, doc_id="long", text="string", source="string").withColumn("__rid", F.monotonically_increasing_id())
+    return _planned(rows, weights, tilts, share, max_repeat, seed).drop("__rid")
+
+
+def _planned(rows: DataFrame, weights, tilts, share: float, max_repeat: int, seed: int) -> DataFrame:
+    """``plan_mix`` of the rows (doc_id, text, source, __rid), with __rid."""
+    rows = rows.select(
+        "doc_id", "source", "__rid",
         F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"),
         F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")).alias("__key"),
     )
     rows = save(rows.withColumn("__last", F.col("source").isNull()), "mix-rows")
     sources = save(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, tilts, share, max_repeat).coalesce(1), "mix-sources")
-    placed = prefix_sums(rows, ["__last", "source", "__key", "doc_id", "size"], "size", "mix-sums")
+    placed = prefix_sums(rows, ["__last", "source", "__key", "doc_id", "size", "__rid"], "size", "mix-sums")
     s = sources.select(F.col("source").isNull().alias("__n"), F.coalesce("source", F.lit("")).alias("__s"), *[c for c in sources.columns if c != "source"])
     d = placed.join(s, (placed["__last"] == s["__n"]) & (F.coalesce(placed["source"], F.lit("")) == s["__s"]))
     at = F.col("__start") - F.col("source_start")
@@ -84,7 +88,21 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, tilts=TILTS, share: float = 1.0,
     visits = F.filter(F.transform(F.sequence(F.lit(0), most - 1), visit), lambda v: v["words"] > 0)
     d = d.withColumn("visits", visits)
     taken = F.aggregate("visits", F.lit(0).cast("long"), lambda a, v: a + v["words"])
-    return d.select("doc_id", "source", *carry, "size", "source_size", "target", taken.alias("taken"), "visits")
+    return d.select("doc_id", "source", "__rid", "size", "source_size", "target", taken.alias("taken"), "visits")
+
+
+def training_order(docs: DataFrame, weights=WEIGHTS, tilts=TILTS, share: float = 1.0, max_repeat: int = 3, seed: int = 17) -> DataFrame:
+    """doc_id, size, source_size, target, taken, first_position and first_rank for every row of ``docs``.
+
+    ``first_rank``: the place (from 0) of the document's first visit among all visits of all documents, range-sorted by
+    position, then doc_id; null, like ``first_position``, where the mix never takes it.
+    """
+    rows = columns(docs, doc_id="long", text="string", source="string").withColumn("__rid", F.monotonically_increasing_id())
+    plan = save(_planned(rows, weights, tilts, share, max_repeat, seed), "mix-plan")
+    visits = plan.select("__rid", "doc_id", "size", F.posexplode("visits").alias("turn", "v")).select("__rid", "doc_id", "size", "turn", "v.position")
+    ranked = prefix_sums(visits, ["position", "doc_id", "size", "turn", "__rid"], "size", "mix-order")
+    first = ranked.filter("turn = 0").select("__rid", F.col("position").alias("first_position"), F.col("__rank").alias("first_rank"))
+    return plan.select("__rid", "doc_id", "size", "source_size", "target", "taken").join(first, "__rid", "left").drop("__rid")
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, tilts=TILTS, share: float = 1.0, max_repeat: int = 3, seed: int = 17) -> DataFrame:
@@ -93,12 +111,16 @@ def mix(docs: DataFrame, weights=WEIGHTS, tilts=TILTS, share: float = 1.0, max_r
     A visit that takes only the first words of a document has them joined by single spaces; ``n_chars``, where
     there is such a column, is set to their length.
     """
-    kept = save(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.monotonically_increasing_id().alias("__rid")), "mix-input")
-    flat = kept.select("__rid", *[F.col(f"__row.`{c}`").alias(c) for c in ("doc_id", "text", "source")])
-    visits = plan_mix(flat, weights, tilts, share, max_repeat, seed).select("__rid", "size", F.explode("visits").alias("__v"))
+    box = Box(docs)
+    kept = save(box.rows.select(box.struct().alias("__row"), F.monotonically_increasing_id().alias("__rid")), "mix-input")
+    given = {"doc_id": "long", "text": "string", "source": "string"}
+    flat = kept.select("__rid", *[box.inside("__row", c).cast(t).alias(c) for c, t in given.items()])
+    visits = _planned(flat, weights, tilts, share, max_repeat, seed).select("__rid", "size", F.explode("visits").alias("__v"))
     out = kept.join(visits.select("__rid", "size", "__v.position", "__v.words"), "__rid")
-    cut = F.array_join(F.slice(F.regexp_extract_all(F.col("__row.text"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("words").cast("int")), " ")
-    text = F.when(F.col("words") < F.col("size"), cut).otherwise(F.col("__row.text"))
+    whole = box.inside("__row", "text").cast("string")
+    cut = F.array_join(F.slice(F.regexp_extract_all(whole, F.lit(WORD), F.lit(0)), F.lit(1), F.col("words").cast("int")), " ")
+    text = F.when(F.col("words") < F.col("size"), cut).otherwise(whole)
     ordered = out.withColumn("__text", text).repartitionByRange("position", "__rid").sortWithinPartitions("position", "__rid")
-    pick = {"text": F.col("__text"), "n_chars": F.when(F.col("words") < F.col("size"), F.length("__text")).otherwise(F.col("__row.n_chars")) if "n_chars" in docs.columns else None}
-    return ordered.select(*[(pick[c] if c in pick else F.col(f"__row.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+    part = F.col("words") < F.col("size")
+    own = {"text": lambda c: F.col("__text"), "n_chars": lambda c: F.when(part, F.length("__text")).otherwise(c)}
+    return ordered.select(*[own.get(f.name, lambda c: c)(c).cast(f.dataType).alias(f.name) for f, c in zip(docs.schema.fields, box.out("__row"), strict=True)])
