@@ -3,10 +3,10 @@
 The lengths' histogram (at most ``capacity`` entries, whatever the corpus) is all that the program sees. Lengths are
 grouped upwards to multiples of ``grain``; a configuration is a multiset of groups that fits the capacity; the
 program asks for the fewest configurations that cover every group's count. Multiplicative weights solve it: each
-group's weight falls as it is covered, and the configuration to add next is the heaviest one, found by an unbounded
-knapsack over the capacity (dynamic programming). The fractional answer is rounded down to whole runs of
-configurations, more runs are priced for what is left while they cover much, and the few remaining pieces
-go by best fit, longest first, into the space that is left in any sequence.
+group's weight falls as it is covered, and the configurations to add next are the heaviest ones, found by an unbounded
+knapsack over the capacity (dynamic programming). The fractional answer is feasible, and its gap to a lower bound is reported. It is
+rounded down to whole runs of configurations, then up once by the largest remainders; runs that the same knapsack prices by the
+lengths alone take most of what is left, and the last few pieces go by best fit, longest first, into the space left in any sequence.
 
 The plan is a list of intervals: pieces of one length, by their rank among the pieces of that length, go to
 consecutive sequences at one offset. Ranks are counted per partition of a range sort, so a length that a third
@@ -19,15 +19,17 @@ no pieces. Documents of more than ``capacity`` ids are cut into full pieces and
 from __future__ import annotations
 
 import bisect
+import math
 import zlib
 from collections import defaultdict
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import columns, save, small_batches
+from tidelog.llm.common import columns, save, small_batches, with_null, without_null
 from tidelog.llm.tokens import default_path, encoder, in_groups
 
 CAPACITY = 2048
@@ -41,68 +43,98 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, end_id: int = 0, capa
     def cut(batches):
         encode = encoder(vocabulary, drops_space=True, most=400_000)
         for pdf in batches:
-            numbers = iter(pdf["doc_id"].astype("Int64"))
+            numbers = zip(pdf["doc_id"].tolist(), pdf["__null"].tolist(), strict=True)
             for group in in_groups(pdf["text"].tolist()):
                 rows = []
                 for own in encode(group):
-                    doc_id, own = next(numbers), own + end
+                    (doc_id, null), own = next(numbers), own + end
                     for k in range(0, len(own), 4 * capacity):
                         part = own[k : k + 4 * capacity]
-                        rows.append((doc_id, k // (4 * capacity), k // 4, len(part) // 4, zlib.crc32(part), *([np.frombuffer(part, "<u4").astype(np.int32)] if with_ids else [])))
-                out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
-                yield out.astype({"doc_id": "Int64"})
+                        rows.append((doc_id, null, k // (4 * capacity), k // 4, len(part) // 4, zlib.crc32(part), *([np.frombuffer(part, "<u4").astype(np.int32)] if with_ids else [])))
+                yield pd.DataFrame(rows, columns=["doc_id", "__null", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
 
     rows = columns(docs, doc_id="long", text="string").withColumn("text", F.coalesce("text", F.lit("")))
-    return rows.mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
-
-
-def heaviest(weight: np.ndarray) -> tuple[dict[int, int], float]:
-    """The heaviest multiset of sizes 1.. (``weight`` by size, index 0 unused) whose sum is at most the largest size."""
-    cap = len(weight) - 1
-    best, choice = np.zeros(cap + 1), np.zeros(cap + 1, np.int64)
-    w = weight[1:]
-    for c in range(1, cap + 1):
-        got = w[:c] + best[c - 1 :: -1] if c < cap else w + best[cap - 1 :: -1]
-        k = int(got.argmax())
-        best[c], choice[c] = got[k], k + 1
-    chosen: dict[int, int] = defaultdict(int)
-    c = cap
-    while c > 0:
-        s = int(choice[c])
-        if weight[s] > 0:
-            chosen[s] += 1
-        c -= s
-    return dict(chosen), float(best[cap])
-
-
-def solve(counts: np.ndarray, eps: float = 0.25, rounds: int = 2500) -> tuple[list[tuple[dict[int, int], float]], float]:
-    """Fractional configurations that cover ``counts`` (by size, index 0 unused), and a lower bound on their sum."""
-    sizes = np.flatnonzero(counts)
+    return with_null(without_null(rows).mapInPandas(cut, "doc_id long, __null boolean, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids))
+
+
+class Knapsack:
+    """The heaviest multisets of sizes 1.. (``weight`` by size, index 0 unused) for every capacity up to the largest size.
+
+    Unbounded dynamic programming; of equally heavy choices the largest size counts.
+    """
+
+    def __init__(self, weight: np.ndarray):
+        self.weight, cap = weight, len(weight) - 1
+        self.best, self.choice = np.zeros(cap + 1), np.zeros(cap + 1, np.int64)
+        sizes = np.flatnonzero(weight > 0)
+        w = weight[sizes]
+        for c in range(int(sizes[0]) if len(sizes) else cap + 1, cap + 1):
+            k = int(np.searchsorted(sizes, c, "right"))
+            got = w[:k] + self.best[c - sizes[:k]]
+            i = k - 1 - int(got[::-1].argmax())
+            self.best[c], self.choice[c] = got[i], sizes[i]
+
+    def chosen(self, capacity: int, first: int = 0) -> dict[int, int]:
+        """The heaviest multiset for ``capacity``; with ``first``, of those that hold one of that size."""
+        out: dict[int, int] = defaultdict(int)
+        if first:
+            out[first] += 1
+        c = capacity - first
+        while c > 0 and (s := int(self.choice[c])):
+            out[s] += 1
+            c -= s
+        return dict(out)
+
+
+@dataclass
+class Answer:
+    """A fractional cover by configurations, its sum, and a lower bound on any such sum."""
+
+    configurations: list[tuple[dict[int, int], float]]
+    total: float
+    bound: float
+
+    @property
+    def gap(self) -> float:
+        return self.total / self.bound - 1 if self.bound else 0.0
+
+
+def solve(counts: np.ndarray, eps: float = 2.0, theta: float = 0.3, near: float = 0.97, rounds: int = 400, rest: float = 0.01, bend: float = 0.5) -> Answer:
+    """The fewest configurations that cover ``counts`` (by size, index 0 unused), by multiplicative weights.
+
+    A size weighs its length, a little more for long ones (``bend``), times exp(eps * share of its demand not covered yet). In each round one knapsack prices, for every size,
+    the best configuration that holds it, those least covered first; each of at least ``near`` times the best weight gets ``theta`` of what
+    its scarcest size leaves. So no demand is covered twice, and no answer has to be scaled. At ``rest`` of all lengths, or after
+    ``rounds``, what is left gets configurations of one size each, which makes the cover feasible. By duality each round's weights bound all covers.
+    """
+    sizes, cap = np.flatnonzero(counts), len(counts) - 1
     if not len(sizes):
-        return [], 0.0
-    cover = np.zeros(len(counts))
+        return Answer([], 0.0, 0.0)
+    demand = counts[sizes].astype(float)
+    left, bound = demand.copy(), float((demand * sizes).sum()) / cap
+    place = np.zeros(cap + 1, np.int64)
+    place[sizes] = np.arange(len(sizes))
     x: dict[tuple, float] = defaultdict(float)
-    start = np.zeros(len(counts))
-    start[sizes] = sizes / counts[sizes] * 1.0
-    bound = 0.0
-    goal = np.log(len(sizes) + 1) / eps
     for _ in range(rounds):
-        low = cover[sizes].min()
-        if low >= goal:
+        if (left * sizes).sum() <= rest * (demand * sizes).sum():
             break
-        weight = np.zeros(len(counts))
-        # value of one piece of a group: its size, discounted by how far the group is covered ahead of the least covered
-        weight[sizes] = sizes * np.exp(-eps * (cover[sizes] - low))
-        chosen, value = heaviest(weight)
-        if not chosen:
-            break
-        bound = max(bound, float((weight * counts).sum()) / value)
-        step = min(counts[s] / a for s, a in chosen.items())
-        x[tuple(sorted(chosen.items()))] += step
-        for s, a in chosen.items():
-            cover[s] += a * step / counts[s]
-    scale = np.median(cover[sizes]) if cover[sizes].min() <= 0 else cover[sizes].mean()
-    return [(dict(k), v / max(scale, 1e-9)) for k, v in x.items()], bound
+        share = left / demand
+        weight = np.zeros(cap + 1)
+        weight[sizes] = sizes * (1 + bend * sizes / cap) * np.exp(eps * (share - share.max()))
+        weight[sizes[share < 1e-6]] = 0  # a bound all the same
+        sack = Knapsack(weight)
+        bound = max(bound, float((weight[sizes] * demand).sum()) / sack.best[cap])
+        for first in sizes[np.argsort(-share, kind="stable")].tolist():
+            if not weight[first] or weight[first] + sack.best[cap - first] < near * sack.best[cap]:
+                continue
+            chosen = sack.chosen(cap, first)
+            step = theta * min(left[place[s]] / a for s, a in chosen.items())
+            x[tuple(sorted(chosen.items()))] += step
+            for s, a in chosen.items():
+                left[place[s]] -= a * step
+    out = [(dict(k), v) for k, v in x.items()]
+    out += [({int(s): int(cap // s)}, float(n / (cap // s))) for s, n in zip(sizes, left, strict=True) if n > 0]
+    return Answer(out, sum(v for _, v in out), bound)
 
 
 class _Plan:
@@ -122,13 +154,6 @@ class _Plan:
         self.next_rank[length] += n
         self.left[length] -= n
 
-    def longest(self, group: int) -> int:
-        """The longest length of ``group`` with pieces left."""
-        for length in range(min(self.capacity, group * self.grain), (group - 1) * self.grain, -1):
-            if self.left[length]:
-                return length
-        return 0
-
     def run(self, chosen: dict[int, int], times: int) -> None:
         """``times`` sequences of one configuration, in stretches of equal lengths."""
         slots = [g for g, a in sorted(chosen.items(), reverse=True) for _ in range(a)]
@@ -179,44 +204,62 @@ class _Plan:
                     self.space[rest].append([first, n])
 
 
-def plan(histogram: np.ndarray, capacity: int = CAPACITY, grain: int = 2, residue: int = 20000) -> tuple[pd.DataFrame, int, float]:
-    """Where the pieces of each length go (intervals of ranks), the number of sequences, and the program's bound."""
+@dataclass
+class Layout:
+    """Where the pieces of each length go (intervals of ranks), the number of sequences, and how they came about:
+    the program's answer, and the pieces that its configurations (rounded), priced runs of the rest, and best fit placed."""
+
+    steps: pd.DataFrame
+    sequences: int
+    answer: Answer
+    by_program: int
+    by_pricing: int
+    by_best_fit: int
+
+
+def plan(histogram: np.ndarray, capacity: int = CAPACITY, grain: int = 2) -> Layout:
     groups = -(-capacity // grain)
     p = _Plan(histogram.astype(np.int64), capacity, grain)
     index = -(-np.arange(len(histogram)) // grain)
-    count = lambda: np.bincount(index, weights=p.left, minlength=groups + 1)[: groups + 1]
+    count = lambda: np.bincount(index, weights=p.left, minlength=groups + 1)[: groups + 1].astype(np.int64)
+    every = int(p.left.sum())
     if p.left[capacity] and capacity > grain:  # a piece that fills a sequence is a configuration of its own
         n = int(p.left[capacity])
         p.place(capacity, n, p.sequences, 0)
         p.sequences += n
-    answer, bound = solve(count())
+    answer = solve(count())
     left = count()
-    for chosen, x in sorted(answer, key=lambda c: -c[1]):
-        times = int(min([x, *(left[g] // a for g, a in chosen.items())]))
-        if times:
-            p.run(chosen, times)
-            left = count()
-    while left.sum() > residue:  # whole runs for the rest, each of which ends a group
-        weight = np.where(left > 0, np.arange(groups + 1) * (1 + np.arange(groups + 1) / groups), 0.0)
-        chosen, _ = heaviest(weight)
-        while chosen:
-            times = int(min(left[g] // a for g, a in chosen.items()))
+    for whole in (True, False):  # whole multiples, then once more by the largest remainders
+        for chosen, x in sorted(answer.configurations, key=lambda c: (-(c[1] if whole else c[1] % 1), sorted(c[0].items()))):
+            times = int(min([x if whole else 1, *(left[g] // a for g, a in chosen.items())]))
             if times:
-                break
-            short = min(chosen, key=lambda g: left[g] // chosen[g])
-            chosen[short] -= 1
-            if not chosen[short]:
-                del chosen[short]
-        if not chosen:
+                p.run(chosen, times)
+                for g, a in chosen.items():
+                    left[g] -= a * times
+    by_program = every - int(p.left.sum())
+    while (size := np.flatnonzero(left)).size:  # what is left is priced by its length
+        weight = np.zeros(groups + 1)
+        weight[size] = size
+        sack, before = Knapsack(weight), int(left.sum())
+        for s in size[::-1].tolist():
+            chosen = sack.chosen(groups, s)
+            fill = sum(g * a for g, a in chosen.items())
+            times = int(min(left[g] // a for g, a in chosen.items()))
+            if times and fill >= 0.99 * groups:
+                p.run(chosen, times)
+                for g, a in chosen.items():
+                    left[g] -= a * times
+        if left.sum() > 0.9 * before:
             break
-        p.run(chosen, times)
-        left = count()
+    by_pricing = every - by_program - int(p.left.sum())
+    rest = int(p.left.sum())
     p.best_fit()
-    return pd.DataFrame(p.rows, columns=["length", "from", "to", "sequence", "offset"]).sort_values(["length", "from"]), p.sequences, bound
+    steps = pd.DataFrame(p.rows, columns=["length", "from", "to", "sequence", "offset"]).sort_values(["length", "from"])
+    return Layout(steps, p.sequences, answer, by_program, by_pricing, rest)
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY, grain: int = 2) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to the rows of ``cut`` (needs ``length``)."""
+    """Add ``sequence_id`` and ``offset`` to the rows of ``cut`` (needs ``doc_id`` and ``length``)."""
 
     def ranked(batches):
         from pyspark import TaskContext
@@ -230,6 +273,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, grain: int = 2) -> DataFrame:
                 pdf["__part"] = part
                 yield pdf
 
+    cut = without_null(cut)  # of its columns doc_id alone may be null
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema.fields)
     tied = cut.withColumn("__tie", F.monotonically_increasing_id()) if "__tie" not in cut.columns else cut
     dealt = tied.repartitionByRange("length", "__tie").sortWithinPartitions("length", "__tie").drop("__tie")
@@ -239,7 +283,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, grain: int = 2) -> DataFrame:
     np.add.at(histogram, totals["length"].to_numpy(np.int64), totals["n"].to_numpy(np.int64))
     totals["before"] = totals.groupby("length")["n"].cumsum() - totals["n"]
     before = dict(zip(zip(totals["length"].tolist(), totals["__part"].tolist(), strict=True), totals["before"].tolist(), strict=True))
-    steps, _, _ = plan(histogram, capacity, grain)
+    steps = plan(histogram, capacity, grain).steps
     by_length = {int(k): tuple(g[c].to_numpy(np.int64) for c in ("from", "sequence", "offset")) for k, g in steps.groupby("length")}
     sent = cut.sparkSession.sparkContext.broadcast((before, by_length))  # by lengths, partitions and configurations, not by pieces
 
@@ -256,7 +300,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, grain: int = 2) -> DataFrame:
             pdf["sequence_id"], pdf["offset"] = sequence, offset
             yield pdf.drop(columns=["__idx", "__part"])
 
-    return dealt.mapInPandas(placed, fields + ", sequence_id long, offset long")
+    return with_null(dealt.mapInPandas(placed, fields + ", sequence_id long, offset long"))
 
 
 def pack_documents(docs: DataFrame, vocabulary: str | None = None, end_id: int = 0, capacity: int = CAPACITY, grain: int = 2, with_ids: bool = False) -> DataFrame:
