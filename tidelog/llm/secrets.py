@@ -1,10 +1,11 @@
 """Secrets: fixed patterns, and stretches of high entropy, with DataFrame functions only.
 
-Besides the patterns (assignments, access keys, long hex strings), every run of 20 or more key-like characters
-is a candidate. A window of 20 characters slides over it; a count per character is brought up to date with the one that
-enters and the one that leaves, and so is the sum that Shannon's entropy needs. Windows at or above the threshold of the
-candidate's class (hex, letters and digits, base64) are joined to one span. Candidates on the allow-list (words, numbers,
-UUIDs, paths, placeholders) and those that touch a pattern's span aren't reported again.
+Besides the patterns (assignments, access keys, long hex strings), every run of 20 or more key-like characters outside their matches
+is a candidate. A window of 20 characters slides over it; the counts of the character that enters and of the one that leaves bring
+the sum that Shannon's entropy needs up to date, and counts of characters outside hex, outside letters and digits, and of digits
+give the window's class. Windows with letters and digits at or above the threshold of their class are hot; those that touch or
+overlap join to one span, cold stretches between stay out. Candidates on the allow-list (words, numbers,
+UUIDs, paths, placeholders) aren't reported. The work is linear in the text's length.
 
 Spans are code points, end exclusive, of whole matches. Null and empty texts have none; null doc_ids and repeated rows are
 scanned row by row; an empty table gives no rows; other columns aren't read.
@@ -23,6 +24,8 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: What candidates are looked for between: an assignment whose value is too short to count is shorter than a window.
+BETWEEN = f"{ASSIGN}|{ACCESS}|{HEX}"
 KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
 #: Bits per character from which a window counts, by class.
@@ -63,25 +66,42 @@ def _bits(c: Column) -> Column:
     return F.element_at(F.array(*[F.lit(0.0 if not k else k * math.log2(k)) for k in range(WINDOW + 2)]), c + 1)
 
 
-def hot_span(part: Column) -> Column:
-    """(from, to) of the windows of ``part`` whose entropy reaches its class's threshold; to is 0 where none does."""
-    threshold = F.when(part.rlike("^[0-9A-Fa-f]+$"), F.lit(THRESHOLDS["hex"])).when(part.rlike("^[0-9A-Za-z]+$"), F.lit(THRESHOLDS["alnum"])).otherwise(F.lit(THRESHOLDS["base64"]))
-    codes = F.transform(F.filter(F.split(part, ""), lambda c: c != ""), lambda c: F.ascii(c))
-    start = F.struct(F.array_repeat(F.lit(0), 128).alias("n"), F.lit(0.0).alias("s"), F.lit(-1).alias("a"), F.lit(0).alias("b"))
+def hot_spans(part: Column) -> Column:
+    """(from, to) of the stretches of ``part`` (ASCII) whose windows reach the threshold of their class."""
+    char = lambda i: F.substr(part, i + 1, F.lit(1))
+    within = lambda c, i, n: F.regexp_count(F.substr(part, i + 1, n), F.concat(F.lit("\\Q"), c, F.lit("\\E")))
+    is_in = lambda c, pattern: c.rlike(pattern).cast("int")
+    spans = F.array().cast("array<struct<from:int,to:int>>")
+    start = F.struct(F.lit(0.0).alias("s"), *[F.lit(0).alias(k) for k in ("wide", "marks", "digits")], spans.alias("out"))
 
-    def scan(code: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            new, old = F.get(code, i), F.coalesce(F.get(code, i - WINDOW), F.lit(-1))
-            c_new = F.get(acc["n"], new)
-            c_old = F.coalesce(F.get(acc["n"], old), F.lit(0)) + F.when(old == new, 1).otherwise(0)
-            s = acc["s"] + _bits(c_new + 1) - _bits(c_new) + F.when(old >= 0, _bits(c_old - 1) - _bits(c_old)).otherwise(F.lit(0.0))
-            counts = F.transform(acc["n"], lambda x, k: x + F.when(k == new, 1).otherwise(0) - F.when(k == old, 1).otherwise(0))
-            hot = (i >= WINDOW - 1) & (F.lit(math.log2(WINDOW)) - s / WINDOW >= threshold)
-            return F.struct(counts.alias("n"), s.alias("s"), F.when(hot & (acc["a"] < 0), i - WINDOW + 1).otherwise(acc["a"]).alias("a"), F.when(hot, i + 1).otherwise(acc["b"]).alias("b"))
+    def step(acc: Column, i: Column) -> Column:
+        new, old, leaves = char(i), char(i - WINDOW), i >= WINDOW
+        before = F.greatest(i - WINDOW, F.lit(0))
+        k_new, k_old = within(new, before, i - before), F.when(leaves, within(old, before, i - before + 1)).otherwise(F.lit(1))
+        s = acc["s"] + _bits(k_new + 1) - _bits(k_new) + F.when(leaves, _bits(k_old - 1) - _bits(k_old)).otherwise(F.lit(0.0))
+        moved = lambda k, pattern: acc[k] + is_in(new, pattern) - F.when(leaves, is_in(old, pattern)).otherwise(F.lit(0))
+        wide, marks, digits = moved("wide", "[^0-9A-Fa-f]"), moved("marks", "[^0-9A-Za-z]"), moved("digits", "[0-9]")
+        threshold = F.when(wide == 0, F.lit(THRESHOLDS["hex"])).when(marks == 0, F.lit(THRESHOLDS["alnum"])).otherwise(F.lit(THRESHOLDS["base64"]))
+        hot = (i >= WINDOW - 1) & (digits > 0) & (digits + marks < WINDOW) & (F.lit(math.log2(WINDOW)) - s / WINDOW >= threshold)
+        own = F.struct((i - WINDOW + 1).alias("from"), (i + 1).alias("to"))
+        last = F.get(acc["out"], F.size(acc["out"]) - 1)
+        joins = F.coalesce(last["to"] >= own["from"], F.lit(False))
+        longer = F.concat(F.slice(acc["out"], F.lit(1), F.greatest(F.size(acc["out"]) - 1, F.lit(0))), F.array(F.struct(last["from"].alias("from"), own["to"].alias("to"))))
+        out = F.when(~hot, acc["out"]).when(joins, longer).otherwise(F.concat(acc["out"], F.array(own)))
+        return F.struct(s.alias("s"), wide.alias("wide"), marks.alias("marks"), digits.alias("digits"), out.alias("out"))
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(code) - 1), start, step, lambda acc: F.struct(acc["a"].alias("from"), acc["b"].alias("to")))
+    return F.aggregate(F.sequence(F.lit(0), F.length(part) - 1), start, step, lambda acc: acc["out"])
 
-    return let(codes, scan)
+
+def candidates(text: Column) -> Column:
+    """(start, end, part) of the candidates of ``text``, which lie between the patterns' matches."""
+
+    def between(gaps: Column, matches: Column) -> Column:
+        lengths = F.transform(gaps, lambda g, k: F.length(g) + F.coalesce(F.length(F.get(matches, k - 1)), F.lit(0)))
+        shift = lambda e, g: lambda m: F.struct((m["start"] + e - F.length(g)).alias("start"), (m["end"] + e - F.length(g)).alias("end"), m["part"].alias("part"))
+        return F.flatten(F.zip_with(gaps, let(lengths, running), lambda g, e: F.transform(found(g, CANDIDATE), shift(e, g))))
+
+    return let(F.split(text, BETWEEN, -1), lambda gaps: let(F.regexp_extract_all(text, F.lit(BETWEEN), F.lit(0)), lambda m: between(gaps, m)))
 
 
 def spans(text: Column) -> Column:
@@ -92,15 +112,10 @@ def spans(text: Column) -> Column:
         F.transform(found(text, ACCESS), one(1)),
         F.transform(found(text, HEX), one(2)),
     )
-
-    def with_entropy(b: Column) -> Column:
-        allowed = lambda p: F.coalesce(*[F.when(p.rlike(a), F.lit(True)) for a in ALLOWED], F.lit(False))
-        free = F.filter(found(text, CANDIDATE), lambda m: ~F.exists(b, lambda x: (x["start"] < m["end"]) & (m["start"] < x["end"])))
-        hot = F.transform(F.filter(free, lambda m: ~allowed(m["part"])), lambda m: F.struct(m["start"].alias("start"), hot_span(m["part"]).alias("h")))
-        hot = F.filter(hot, lambda m: m["h"]["to"] > 0)
-        return F.sort_array(F.concat(b, F.transform(hot, lambda m: F.struct((m["start"] + m["h"]["from"]).alias("start"), F.lit(3).alias("k"), (m["start"] + m["h"]["to"]).alias("end")))))
-
-    return let(base, with_entropy)
+    allowed = lambda p: F.coalesce(*[F.when(p.rlike(a), F.lit(True)) for a in ALLOWED], F.lit(False))
+    shift = lambda m: F.transform(hot_spans(m["part"]), lambda h: F.struct((m["start"] + h["from"]).alias("start"), F.lit(3).alias("k"), (m["start"] + h["to"]).alias("end")))
+    hot = F.flatten(F.transform(F.filter(candidates(text), lambda m: ~allowed(m["part"])), shift))
+    return F.sort_array(F.concat(base, F.when(text.rlike(CANDIDATE), hot).otherwise(F.array().cast("array<struct<start:int,k:int,end:int>>"))))
 
 
 def scan_secrets(docs: DataFrame) -> DataFrame:
