@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import columns, new_path, small_batches
+from tidelog.llm.common import columns, new_path, small_batches, with_null, without_null
 from tidelog.llm.tokens import default_path, encoder, in_groups
 
 #: Selector: (ids in a word, bits of each), fixed values of the format.
@@ -46,19 +46,16 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     widths = np.array([*sorted({b for _, b in LAYOUT.values()}), 61], np.int8)
     bits = widths[np.searchsorted(tops_of, v)]
     left = np.minimum(BLOCK, n - np.arange(n) // BLOCK * BLOCK) - np.arange(n) % BLOCK
-    reach, span = bits.copy(), 1  # the widest of the ids from each place on
-    tops = {1: bits}
-    for count in range(2, 61):
-        shifted = np.zeros(n, np.int8)
-        shifted[: max(0, n - count + 1)] = bits[count - 1 :]
-        reach = np.maximum(reach, shifted)
-        tops[count] = reach
-        if int(reach.min()) > 30 or (count >= 4 and not np.any(reach <= 60 // count)):
+    reach = bits.copy()  # the widest of the ids from each place on, as many as a selector packs
+    packs = {count: (sel, width) for sel, (count, width) in LAYOUT.items()}
+    for count in range(1, max(packs) + 1):
+        if count > 1:
+            np.maximum(reach[: max(0, n - count + 1)], bits[count - 1 :], out=reach[: max(0, n - count + 1)])
+        if count in packs:
+            sel, width = packs[count]
+            choice[(reach <= width) & (left >= count)] = sel
+        if not np.any(reach[: max(1, n - count + 1)] <= 30) or (count >= 4 and not np.any(reach <= 60 // count)):
             break
-    for sel in sorted(LAYOUT, reverse=True):
-        count, width = LAYOUT[sel]
-        if count in tops:
-            choice[(tops[count] <= width) & (left >= count)] = sel
     choice[wide] = ESCAPE
     counts = np.array([1] + [LAYOUT[s][0] for s in range(1, 15)])
     rows_pos, rows_block = [], []
@@ -135,7 +132,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
             return pd.DataFrame({"part": [part], "before": [before], "doc_ids": [doc_ids], "lengths": [lengths], "words": [words.astype("<u8").tobytes()], "block_offsets": [offsets]})
 
         for pdf in batches:
-            numbers = iter(pdf["doc_id"].astype(object).where(pdf["doc_id"].notna(), None))
+            numbers = iter(pdf["doc_id"].astype(object).where(~pdf["__null"], None))
             for group in in_groups(pdf["text"].tolist()):
                 for own in encode_texts(group):
                     ids.append(own + end)
@@ -151,7 +148,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
             yield flush()
 
     rows = columns(docs, doc_id="long", text="string").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("__tie"))
-    dealt = rows.repartitionByRange("doc_id", "__tie").sortWithinPartitions("doc_id", "__tie")
+    dealt = without_null(rows.repartitionByRange("doc_id", "__tie").sortWithinPartitions("doc_id", "__tie"))
     dealt.mapInPandas(segments, SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
@@ -173,9 +170,10 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 lengths = np.asarray(r.lengths, np.int64)
                 ends = np.cumsum(lengths)
                 crcs = [zlib.crc32(ids[e - n : e].tobytes()) for e, n in zip(ends, lengths, strict=True)]
-                yield pd.DataFrame({"doc_id": pd.array([None if x is None or x != x else int(x) for x in r.doc_ids], "Int64"), "start": r.at + r.before + ends - lengths, "n_tokens": lengths, "ids_crc32": crcs})
+                yield pd.DataFrame({"doc_id": r.doc_ids, "__null": r.nulls, "start": r.at + r.before + ends - lengths, "n_tokens": lengths, "ids_crc32": crcs})
 
-    return files.join(F.broadcast(offsets), "part").mapInPandas(documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    told = files.withColumn("nulls", F.transform("doc_ids", F.isnull)).withColumn("doc_ids", F.transform("doc_ids", lambda x: F.coalesce(x, F.lit(0).cast("long"))))
+    return with_null(told.join(F.broadcast(offsets), "part").mapInPandas(documents, "doc_id long, __null boolean, start long, n_tokens long, ids_crc32 long"))  # a row per file
 
 
 def token_digest(docs: DataFrame, vocabulary: str | None = None, end_id: int = 2) -> DataFrame:

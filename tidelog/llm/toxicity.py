@@ -3,8 +3,8 @@
 A text's features are its distinct character n-grams of ``SIZES`` lengths, lower-cased and hashed to ``DIMS`` places. Each has
 the log ratio of its smoothed frequencies in toxic and other training texts; those whose ratio stands out from
 chance are kept, and a logistic regression is fitted on presence times ratio. The fit runs on the driver over a
-bounded sample of labelled rows (``per_class`` of each label, of at most ``longest`` characters each, chosen by a hash
-of their id); the weights, of fixed size, go to the executors, which score every whole text in slices.
+bounded sample of labelled rows (``per_class`` of label 1 and twice as many of label 0, the first by a hash of their id among
+those of at most ``longest`` characters); the weights, of fixed size, go to the executors, which score every whole text in slices.
 
 Null and empty texts have no features and get the score of the bias alone; null doc_ids are scored but never learnt from;
 rows repeated in ``documents`` get the same score; ids with a null label aren't used, and where an id has
@@ -13,15 +13,14 @@ labels of both kinds the higher counts. Without toxic or without other training
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import columns, small_batches
+from tidelog.llm.common import Box, columns, small_batches, with_null, without_null
 
 SIZES = (3, 4, 5)
 DIMS = 1 << 20
@@ -117,19 +116,25 @@ def fit(texts: list[str], labels: np.ndarray, most: int = 4096, floor: float = 3
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, longest: int = 20_000) -> Model:
-    """Fit on a bounded sample of the labelled rows whose crc32(doc_id) mod 3 isn't 1."""
+    """Fit on a bounded sample of the labelled rows whose crc32(doc_id) mod 3 isn't 1.
+
+    Four times as many ids as wanted are looked up, so that long texts can be passed over for the next ones.
+    """
     known = columns(labels, doc_id="long", toxic="int").filter("doc_id is not null and toxic is not null")
     known = known.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    by_hash = F.xxhash64("doc_id")
-    picked = known.filter("toxic = 1").orderBy(by_hash).limit(per_class).unionByName(known.filter("toxic = 0").orderBy(by_hash).limit(2 * per_class))
-    rows = columns(docs, doc_id="long", text="string").filter(F.length("text") <= longest)
-    sample = rows.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # at most 3 * per_class rows
-    found = sample.orderBy("doc_id").toPandas()
+    by_hash, most = F.xxhash64("doc_id"), {1: per_class, 0: 2 * per_class}
+    picked = [known.filter(F.col("toxic") == k).orderBy(by_hash).limit(4 * n) for k, n in most.items()]
+    rows = columns(docs, doc_id="long", text="string").filter(F.coalesce(F.length("text"), F.lit(0)) <= longest)
+    held = rows.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")  # at most 12 * per_class ids
+    wanted = held.groupBy("toxic", "doc_id").agg(F.min("text").alias("text"))
+    first = F.row_number().over(Window.partitionBy("toxic").orderBy(by_hash))  # of the ids looked up, no more
+    sample = wanted.withColumn("k", first).filter(F.col("k") <= F.when(F.col("toxic") == 1, most[1]).otherwise(most[0]))
+    found = sample.select("doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text")).orderBy("doc_id").toPandas()
     return fit(found["text"].tolist(), found["toxic"].to_numpy())
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` (needs text) as a struct ``row``, with ``score`` and ``predicted``."""
+    """The rows of ``docs`` (needs text) as a struct ``row`` (of a ``Box``), with ``score`` and ``predicted``."""
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # DIMS places
 
@@ -139,12 +144,11 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
             pdf["score"] = m.score(pdf["__text"].tolist())
             yield pdf.drop(columns="__text")
 
-    names = [f.name for f in docs.schema.fields]
-    inner = docs.select(*[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)], F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"))
-    fields = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
+    box = Box(docs)
+    inner = box.rows.withColumn("__text", F.coalesce(box["text"].cast("string"), F.lit("")))
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in box.rows.schema.fields)
     out = inner.mapInPandas(scored, fields + ", score double")
-    row = F.struct(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
-    return out.select(row.alias("row"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return out.select(box.struct().alias("row"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -155,14 +159,15 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
     def scored(batches):
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "held_out": [x == x and x is not None and zlib.crc32(str(int(x)).encode()) % 3 == 1 for x in pdf["doc_id"]], "score": sent.value.score(pdf["text"].tolist())})
+            pdf["score"] = sent.value.score(pdf["text"].tolist())
+            yield pdf.drop(columns="text")
 
-    rows = columns(docs, doc_id="long", text="string").withColumn("text", F.coalesce("text", F.lit("")))
-    out = rows.mapInPandas(scored, "doc_id long, held_out boolean, score double")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    rows = columns(docs, doc_id="long", text="string").select("doc_id", held_out.alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
+    out = with_null(without_null(rows).mapInPandas(scored, "doc_id long, held_out boolean, __null boolean, score double"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that aren't predicted toxic, with all their columns."""
-    kept = score(docs, train(docs, labels), threshold).filter("predicted = 0")
-    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return score(docs, train(docs, labels), threshold).filter("predicted = 0").select(*Box(docs).out("row"))
