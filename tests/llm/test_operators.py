@@ -1,6 +1,8 @@
 import hashlib
+import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -44,6 +46,31 @@ def test_exact(docs, none):
     assert exact_dedup.exact_groups(none).count() == 0
     kept = exact_dedup.drop_exact_copies(docs)
     assert kept.columns == docs.columns and kept.count() == len(sizes)
+    assert exact_dedup.drop_exact_copies(none).count() == 0
+
+
+def test_exact_levels(spark, monkeypatch):
+    """Many batches, several levels and one text that a third of all rows share, split over tasks; a row added later takes over."""
+    monkeypatch.setattr(exact_dedup, "PER_TASK", 50)
+    rng = random.Random(9)
+    rows = [(i, "hot  text" if i % 3 == 0 else f"text {rng.randrange(400)}") for i in range(1500, 0, -1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(16)
+    best, sizes = {}, Counter(t.replace("  ", " ") for _, t in rows)
+    for i, t in sorted(rows):
+        best.setdefault(t.replace("  ", " "), i)
+    want = {i: (best[t.replace("  ", " ")], sizes[t.replace("  ", " ")]) for i, t in rows}
+    for batches, fanout in ((9, 2), (1, 2), (4, 8)):
+        got = exact_dedup.exact_groups(df, batches=batches, fanout=fanout).collect()
+        assert len(got) == len(rows) and {r.doc_id: (r.keep_id, r.group_size) for r in got} == want
+    index = exact_dedup.LsmDigestIndex(spark, fanout=2)
+    levels = []
+    key = lambda k: F.struct(F.lit(False).alias("no_id"), F.lit(k).cast("long").alias("doc_id"), F.lit(k).cast("long").alias("rid"))
+    for k in (5, 4, 3, 2, 1):
+        index.add(spark.range(3).select(F.concat(F.lit("d"), F.col("id") * (k % 2)).alias("digest"), key(k).alias("key")))
+        levels.append(sorted(r.level for r in index.runs))
+    assert levels == [[0], [1], [0, 1], [2], [0, 2]]
+    got = {r.digest: (r.first.doc_id, r.n) for r in index.compact().collect()}
+    assert got == {"d0": (1, 9), "d1": (1, 3), "d2": (1, 3)}
 
 
 def test_sharding(docs, none):
@@ -56,6 +83,36 @@ def test_sharding(docs, none):
     assert sharding.shard_by_bytes(none).count() == 0
 
 
+def by_bytes(rows, shards):
+    """doc_id, size, crc32, shard, slot of rows (doc_id, text) in the order of the operator."""
+    sized = sorted(((i is not None, i or 0, zlib.crc32((t or "").encode())), i, len((t or "").encode()) + 8) for i, t in rows)
+    total, at, slots, out = sum(s for *_, s in sized), 0, Counter(), []
+    for (_, _, crc), i, size in sized:
+        k = min(shards - 1, (2 * at + size) * shards // (2 * total))
+        out.append((i, size, crc, k, slots[k]))
+        slots[k] += 1
+        at += size
+    return out
+
+
+def test_sharding_law(spark, docs, tmp_path):
+    whole = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    for rows, shards in ((whole, 24), ([(r[0], r[1]) for r in ODD], 4)):
+        df = spark.createDataFrame(rows, "doc_id long, text string").select("*", F.lit("clash").alias("Text")) if rows is whole else docs
+        got = sharding.shard_by_bytes(df, shards).select("doc_id", "size", "text_crc32", "shard", "slot").collect()
+        assert Counter(map(tuple, got)) == Counter(by_bytes(rows, shards))
+    sums = Counter()
+    for _, size, _, k, _ in by_bytes(whole, 24):
+        sums[k] += size
+    longest = max(len((t or "").encode()) + 8 for _, t in whole)
+    assert max(sums.values()) - sum(sums.values()) / 24 <= longest
+    clash = docs.withColumn("shard", F.lit("own"))
+    name = sharding.write_shards(clash, f"{tmp_path}/shards", 4)
+    back = spark.read.parquet(f"{tmp_path}/shards")
+    assert name == "shard_" and Counter((r.doc_id, r.text) for r in back.collect()) == Counter((r[0], r[1]) for r in ODD)
+    assert Counter((r.doc_id, r.shard_) for r in back.collect()) == Counter((i, k) for i, _, _, k, _ in by_bytes([(r[0], r[1]) for r in ODD], 4))
+
+
 def test_mixing(docs, none):
     got = mixing.plan_mix(docs).collect()
     assert len(got) == len(ODD)
@@ -69,6 +126,16 @@ def test_mixing(docs, none):
     assert abs(sum(rs[0].target for rs in by.values()) - total) < 1e-6
     assert sorted((r.doc_id or 0, r.taken) for r in mixing.plan_mix(docs).collect()) == sorted((r.doc_id or 0, r.taken) for r in got)
     assert mixing.plan_mix(none).count() == 0
+    visits = sorted((v.position, r.doc_id is not None, r.doc_id or 0, r.size, k) for r in got for k, v in enumerate(r.visits))
+    rank = {}
+    for n, (position, _, doc_id, _, turn) in enumerate(visits):
+        if turn == 0:
+            rank.setdefault(doc_id, []).append((n, position))
+    ordered = mixing.training_order(docs).collect()
+    assert len(ordered) == len(ODD)
+    for r in ordered:
+        assert (r.first_rank, r.first_position) in rank.get(r.doc_id or 0, [(None, None)]), r
+    assert mixing.training_order(none).count() == mixing.mix(none).count() == 0
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns and mixed.select(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))).first()[0] == sum(r.taken for r in got)
 
@@ -77,9 +144,13 @@ def test_token_files(spark, docs, none, tmp_path):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(default_path("byte_bpe_50k.json"))
-    want = Counter(len(tok.encode(r[1] or "", add_special_tokens=False).ids) + 1 for r in ODD)
+    ids = lambda text: np.array([*tok.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
+    want = Counter((r[0], len(ids(r[1])), zlib.crc32(ids(r[1]).tobytes())) for r in ODD)
+    big = spark.createDataFrame([(2**60 + 1, "a big id"), (None, "none"), (2**60 + 3, None)], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.start) for r in token_output.token_digest(big).collect()) == [(0, 0), (2**60 + 1, len(ids("none"))), (2**60 + 3, len(ids("none")) + len(ids("a big id")))]
+    assert token_output.token_digest(none).count() == 0
     got = token_output.token_digest(docs).collect()
-    assert Counter(r.n_tokens for r in got) == want
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want
     at = 0
     for r in sorted(got, key=lambda r: r.start):
         assert r.start == at
@@ -105,10 +176,43 @@ def test_packing(docs, none):
         assert (g["offset"] == g["length"].cumsum() - g["length"]).all() and g["length"].sum() <= 2048
     assert packing.pack_documents(none).count() == 0
     lengths = np.random.default_rng(2).integers(1, 2049, 3000)
-    steps, n, _ = packing.plan(np.bincount(lengths, minlength=2049))
+    made = packing.plan(np.bincount(lengths, minlength=2049))
+    steps, n = made.steps, made.sequences
     assert (steps["to"] - steps["from"]).sum() == 3000 and n <= 1.02 * lengths.sum() / 2048 + 60
 
 
+def test_packing_pieces(docs):
+    """Every piece against the library, and places that hold each piece once."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(default_path("word_bpe_49k.json"))
+    want = Counter()
+    for doc_id, text, *_ in ODD:
+        ids = np.array([*tok.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        want.update((doc_id, k // 2048, k, len(ids[k : k + 2048]), zlib.crc32(ids[k : k + 2048].tobytes())) for k in range(0, len(ids), 2048))
+    got = Counter(tuple(r)[:5] for r in packing.pack_documents(docs).select("doc_id", "piece", "start", "length", "ids_crc32").collect())
+    assert got == want
+
+
+@pytest.mark.parametrize("shape", ["log-normal", "uniform"])
+def test_packing_program(shape):
+    """At a thousand pieces too the program places most of them; its cover is feasible, and its gap is stated."""
+    rng = np.random.default_rng(4)
+    lengths = np.clip(rng.lognormal(5.6, 0.9, 1100).astype(int), 1, 2047) if shape == "log-normal" else rng.integers(1, 1100, 1100)
+    made = packing.plan(np.bincount(lengths, minlength=2049))
+    counts = np.bincount(-(-lengths // 2), minlength=1025)
+    cover = np.zeros(1025)
+    for chosen, x in made.answer.configurations:
+        assert sum(g * a for g, a in chosen.items()) <= 1024 and x > 0
+        for g, a in chosen.items():
+            cover[g] += a * x
+    assert (cover >= counts - 1e-6).all() and made.answer.bound <= made.answer.total + 1e-9
+    print(f"{shape}: gap {made.answer.gap:.4f}, by the program {made.by_program}, by pricing {made.by_pricing}, by best fit {made.by_best_fit}")
+    assert made.answer.gap < 0.02 and made.by_program >= 0.6 * len(lengths)
+    assert made.sequences <= 1.015 * lengths.sum() / 2048 + 2
+    assert made.by_program + made.by_pricing + made.by_best_fit == len(lengths)
+
+
 def test_quality_and_secrets(docs, none):
     for r in quality.judge(docs).collect():
         text = next(t[1] or "" for t in ODD if t[0] == r.doc_id)
@@ -125,6 +229,53 @@ def test_quality_and_secrets(docs, none):
     assert secrets.scan_secrets(none).count() == 0
 
 
+def by_entropy(text: str) -> str:
+    """All spans of ``text``, every window on its own."""
+    base = [(m.start(), 0, m.end()) for m in re.finditer(secrets.ASSIGN, text) if len(m[2]) >= 6]
+    base += [(m.start(), k, m.end()) for k, p in ((1, secrets.ACCESS), (2, secrets.HEX)) for m in re.finditer(p, text)]
+    gaps, at = [], 0
+    for m in [*re.finditer(secrets.BETWEEN, text), None]:
+        gaps.append((at, text[at : m.start() if m else len(text)]))
+        at = m.end() if m else at
+    hot = []
+    for first, gap in gaps:
+        for c in re.finditer(secrets.CANDIDATE, gap):
+            part, spans = c[0], []
+            if any(re.search(p, part) for p in secrets.ALLOWED):
+                continue
+            for i in range(len(part) - 19):
+                w = part[i : i + 20]
+                bits = -sum(n / 20 * math.log2(n / 20) for n in Counter(w).values())
+                kind = "hex" if re.fullmatch("[0-9A-Fa-f]+", w) else "alnum" if re.fullmatch("[0-9A-Za-z]+", w) else "base64"
+                letters = any(x in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz" for x in w)
+                if bits >= secrets.THRESHOLDS[kind] - 1e-9 and letters and any(x in "0123456789" for x in w):
+                    if spans and spans[-1][1] >= i:
+                        spans[-1][1] = i + 20
+                    else:
+                        spans.append([i, i + 20])
+            hot += [(first + c.start() + a, 3, first + c.start() + b) for a, b in spans]
+    return ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(base + hot))
+
+
+def test_entropy(spark):
+    rng = random.Random(12)
+    draw = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    texts = [None, "", "é " + draw(alnum, 40) + " x", "HMAC_SIG=" + draw("0123456789ABCDEF", 48), "AKIA" + draw("ABCDEFGH01234567", 16) + "/" + draw(alnum, 40), "a/b/" * 20, "1" * 60, "word" * 20]
+    texts += [draw(alnum, 30) + "a1" * 40 + draw(alnum, 30), "123e4567-e89b-12d3-a456-426614174000", "token=abc password: 'longer-value' " + draw(alnum + "+/", 64), draw(alnum + "+/=_- ", 9000)]
+    texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("*", F.lit(1).alias("Text"))
+    got = {r.doc_id: r for r in secrets.scan_secrets(df).collect()}
+    for i, t in enumerate(texts):
+        want = by_entropy(t or "")
+        assert got[i].spans == want, (t, want)
+        base = [x for x in want.split(",") if x and not x.startswith("entropy")]
+        assert got[i].base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
+        assert [got[i].n_assign, got[i].n_access, got[i].n_hex] == [sum(x.startswith(k) for x in base) for k in secrets.KINDS[:3]]
+    assert all("entropy" in got[i].spans for i in (2, 3, 4, 8)) and not any("entropy" in got[i].spans for i in (5, 6, 7, 9))
+    assert got[8].spans.count("entropy") == 2  # a cold stretch between
+
+
 def test_near(spark, none):
     base = [f"w{i}" for i in range(120)]
     texts = [" ".join(base), " ".join(base).upper(), " ".join(base[:-3]), " ".join(reversed(base)), None, "", "a b", "a b", " ".join(base[3:])]

@@ -18,7 +18,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.plan_mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.training_order(read_table(spark, sf_dir, "documents"))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_groups(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+    return near_dedup.near_groups(read_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
@@ -60,16 +60,22 @@ _W = r"[^\x20\x09-\x0D]"
 
 OP3_SQL = rf"""
 WITH d AS (SELECT doc_id, source, md5('17:' || coalesce(doc_id::VARCHAR, '')) AS k, len(regexp_extract_all(coalesce(text, ''), '{_W}+'))::BIGINT AS size FROM documents),
-s AS (SELECT source, sum(size)::BIGINT AS source_size, ([5.0, 2.0, 1.0])[((row_number() OVER (ORDER BY source ASC NULLS LAST)) - 1) % 3 + 1]::DOUBLE AS w FROM d GROUP BY source),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, ([5.0, 2.0, 1.0])[((row_number() OVER (ORDER BY source ASC NULLS LAST)) - 1) % 3 + 1]::DOUBLE AS w,
+  ([-0.5, 0.0, 0.5])[((row_number() OVER (ORDER BY source ASC NULLS LAST)) - 1) % 3 + 1]::DOUBLE AS tilt FROM d GROUP BY source),
 l AS (SELECT *, 3.0::DOUBLE * source_size AS cap,
   ((SELECT sum(source_size) FROM s) - coalesce(sum(3.0::DOUBLE * source_size) OVER b, 0))::DOUBLE / ((SELECT sum(w) FROM s) - coalesce(sum(w) OVER b, 0)) AS level
   FROM s WINDOW b AS (ORDER BY 3.0::DOUBLE * source_size / w, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-t AS (SELECT source, source_size, CASE WHEN cap < level * w THEN cap ELSE least(cap, w * coalesce((SELECT arg_min(level, cap / w) FROM l WHERE NOT cap < level * w), 0)) END AS target FROM l),
-p AS (SELECT d.*, source_size, target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-  (SELECT sum(greatest(0, least(size, round(target)::BIGINT - (source_size * e + pos)))) FROM (VALUES (0), (1), (2), (3)) v(e))::BIGINT AS taken
-FROM p
+t AS (SELECT source, source_size, tilt, CASE WHEN cap < level * w THEN cap ELSE least(cap, w * coalesce((SELECT arg_min(level, cap / w) FROM l WHERE NOT cap < level * w), 0)) END AS target FROM l),
+p AS (SELECT d.*, source_size, target, tilt, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+v AS (SELECT doc_id, size, tilt, e, greatest(0, least(size, round(target)::BIGINT - (source_size * e + pos))) AS words,
+  greatest(0.0, least(1.0, ((source_size * e + pos)::DOUBLE + size::DOUBLE / 2) / target)) AS u FROM p, (VALUES (0), (1), (2), (3)) v(e) WHERE target > 0),
+r AS (SELECT doc_id, e, position, row_number() OVER (ORDER BY position, doc_id, size, e) - 1 AS first_rank
+  FROM (SELECT *, CASE WHEN tilt = 0 THEN u ELSE (-(1 - tilt) + sqrt((1 - tilt) * (1 - tilt) + 4 * tilt * u)) / (2 * tilt) END AS position FROM v WHERE words > 0))
+SELECT p.doc_id, size, source_size, target,
+  (SELECT sum(greatest(0, least(size, round(target)::BIGINT - (source_size * e + pos)))) FROM (VALUES (0), (1), (2), (3)) v(e))::BIGINT AS taken,
+  position AS first_position, first_rank
+FROM p LEFT JOIN r ON r.doc_id = p.doc_id AND r.e = 0
 """
 
 OP4_SQL = r"""
