@@ -35,7 +35,8 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    return licenses.scan_licenses(docs.select("doc_id", "text", F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path")), "path")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.col("doc_id").cast("string"))  # the table has no file names: a source is a directory
+    return licenses.scan_licenses(docs.select("doc_id", "text", path.alias("path")), "path", by_content=True)
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
