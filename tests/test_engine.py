@@ -34,7 +34,7 @@ def test_closure(spark, edges):
 
 def test_random_programs(spark):
     rng = random.Random(5)
-    for _ in range(4):
+    for _ in range(8):
         edges = [(rng.randrange(8), rng.randrange(8)) for _ in range(rng.randrange(17))]
         e = Engine(spark)
         edge, tc, tri, lone = e.relation("e", E2, edges), e.relation("tc", E2), e.relation("tri", "a bigint, b bigint, c bigint"), e.relation("lone", E2)
@@ -114,3 +114,222 @@ def test_core(spark):
     rel = RelationLeaper(spark.createDataFrame([(1, 10), (1, 20), (2, 30)], E2))
     out = leapjoin(spark.createDataFrame([(1,), (2,), (3,)], "k bigint"), [rel.extend_with(lambda k: k)], lambda k, v: (k, v))
     assert sorted(map(tuple, out.collect())) == [(1, 10), (1, 20), (2, 30)]
+
+
+def test_facts_from_elsewhere_between_solves(spark):
+    """Facts committed, or derived by another engine, since the last solve count; what they contradict goes."""
+    e = Engine(spark)
+    edge, bl, m, n = e.relation("edge", E2, [(1, 2), (2, 3)]), e.relation("bl", E2), e.relation("m", E2), e.relation("n", "total bigint")
+    e.rule(m(x, y), edge(x, y), ~bl(x, y)).rule(n(s), m(x, y), agg(s, "count", y)).solve()
+    assert rows(m) == [(1, 2), (2, 3)] and rows(n) == [(2,)]
+    bl.insert([(1, 2)]).commit()
+    edge.insert([(3, 4)]).commit()
+    assert rows(e.solve() and m) == [(2, 3), (3, 4)] and rows(n) == [(2,)]
+    other = Engine(spark)
+    more = other.relation("more", E2, [(2, 3)])
+    other.rule(bl(x, y), more(x, y)).solve()
+    assert rows(e.solve() and m) == [(3, 4)] and rows(n) == [(1,)]
+    edge.extract()
+    edge.insert([(7, 8)])
+    assert rows(e.solve() and m) == [(7, 8)] and rows(n) == [(1,)]
+
+
+def test_inserted_fact_that_was_derived_before_stays(spark):
+    e = Engine(spark)
+    a, no, b = e.relation("a", E2, [(1, 2)]), e.relation("no", E2), e.relation("b", E2)
+    e.rule(b(x, y), a(x, y), ~no(x, y)).solve()
+    b.insert([(1, 2)])
+    e.solve()
+    no.insert([(1, 2)])
+    assert rows(e.solve() and b) == [(1, 2)]
+
+
+def test_warm_start(spark, monkeypatch):
+    """A second solve joins only what is new, one without news runs nothing, and rounds cut short go on."""
+    from tidelog import engine
+
+    seen = []
+    emit = engine.bindings
+    monkeypatch.setattr(engine, "bindings", lambda rule, frames, *rest: seen.append([f.count() for f in frames]) or emit(rule, frames, *rest))
+    e = Engine(spark)
+    edge, tc = e.relation("edge", E2, [(i, i + 1) for i in range(20)]), e.relation("tc", E2)
+    e.rule(tc(x, y), edge(x, y)).rule(tc(x, z), tc(x, y), edge(y, z)).solve(max_rounds=3)
+    assert len(rows(tc)) < 210
+    assert len(rows(e.solve() and tc)) == 210
+    seen.clear()
+    e.solve()
+    assert not seen
+    edge.insert([(20, 21), (5, 6)])
+    e.solve()
+    assert len(rows(tc)) == 231 and [1] in seen and all(min(f) <= 21 for f in seen)
+    e.rule(tc(y, x), tc(x, y))
+    assert len(rows(e.solve() and tc)) == 22 * 22 - 1  # nothing leads to 0 but 0 itself
+
+
+def test_large_totals_and_tables_left(spark, monkeypatch):
+    """Totals that are read where they lie give the same facts; tables that nothing needs are deleted."""
+    import os
+
+    from tidelog.operators import relation
+    from tidelog.sources.tables import shared_dir
+
+    monkeypatch.setattr(relation, "LARGE_TOTAL", 5)
+    edges = [(i, (i * 7) % 23) for i in range(23)] + [(i, i + 1) for i in range(40)]
+    top = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(top))
+    for sent in (relation.SENT_BYTES, 100):
+        monkeypatch.setattr(relation, "SENT_BYTES", sent)
+        e = Engine(spark)
+        edge, tc = e.relation("edge", E2, edges), e.relation("tc", E2)
+        e.rule(tc(x, y), edge(x, y)).rule(tc(x, z), tc(x, y), edge(y, z)).solve()
+        assert rows(tc) == closure(edges)
+        left = {p.rsplit("/", 1)[1] for p in (*edge.paths(), *tc.paths())}
+        assert set(os.listdir(top)) - before == left
+        before |= left
+    keep = Relation(spark, "k", "a bigint", on_null="keep").insert([(None,), (1,), (None,)]).commit().insert([(None,), (2,)]).commit()
+    assert sorted(r.a or 0 for r in keep.df().collect()) == [0, 1, 2]
+    e = Engine(spark)
+    both = e.relation("both", "a bigint")
+    assert rows(e.rule(both(x), keep(x), keep(x)).solve() and both) == [(1,), (2,)]  # a null joins nothing
+
+
+def test_cyclic_bodies(spark):
+    """A hub with many neighbours on either side: no step of the join makes its paths, and the answers are right."""
+    from tidelog.plans.compile import is_cyclic
+
+    v = variables("a b c d")
+    hub = [(0, i) for i in range(1, 400)] + [(i, 0) for i in range(400, 800)] + [(1, 400), (400, 401), (5, 6), (6, 7), (7, 5), (7, 8), (8, 5), (9, 9)]
+    for cut in (False, True):
+        e = Engine(spark)
+        g, tri, sq, bow = e.relation("g", E2, hub), e.relation("tri", "a bigint, b bigint, c bigint"), e.relation("sq", "a bigint, b bigint, c bigint, d bigint"), e.relation("bow", "a bigint, n bigint")
+        e.rule(tri(*v[:3]), g(v[0], v[1]), g(v[1], v[2]), g(v[2], v[0]), *([v[0] < v[1]] if cut else []))
+        e.rule(sq(*v), g(v[0], v[1]), g(v[1], v[2]), g(v[2], v[3]), g(v[3], v[0]), *([~g(v[0], v[2])] if cut else []))
+        e.rule(bow(x, s), g(x, y), g(y, z), g(z, x), agg(s, "count", y, [x])).solve()
+        out = {}
+        for a, b in hub:
+            out.setdefault(a, set()).add(b)
+        two = [(a, b, c) for a, b in set(hub) for c in out.get(b, ())]
+        cycles = {(a, b, c) for a, b, c in two if a in out.get(c, ())}
+        assert rows(tri) == sorted(t for t in cycles if not cut or t[0] < t[1])
+        assert rows(sq) == sorted({(a, b, c, d) for a, b, c in two for d in out.get(c, ()) if a in out.get(d, ()) and not (cut and c in out.get(a, ()))})
+        assert rows(bow) == sorted((a, sum(t[0] == a for t in cycles)) for a in {t[0] for t in cycles})
+    g = Relation(spark, "g", E2)
+    assert is_cyclic((g(x, y), g(y, z), g(z, x))) and not is_cyclic((g(x, y), g(y, z), g(z, s))) and not is_cyclic((g(x, y), g(x, z), g(x, s)))
+
+
+def test_smallest_relation_proposes(spark):
+    hub = RelationLeaper(spark.createDataFrame([(1, i) for i in range(50)] + [(2, 7)], E2))
+    few = RelationLeaper(spark.createDataFrame([(1, 3), (2, 7), (2, 8), (2, 9)], E2))
+    src = spark.createDataFrame([(1,), (2,), (3,)], "k bigint")
+    out = leapjoin(src, [hub.extend_with(lambda k: k), few.extend_with(lambda k: k)], lambda k, v: (k, v))
+    assert sorted(map(tuple, out.collect())) == [(1, 3), (2, 7)]
+    joined = leapjoin(src, [few.extend_with(lambda k: k), few.extend_with(lambda k: k + 1), hub.extend_with(lambda k: k)], lambda k, v: (k, v))
+    assert [tuple(r) for r in joined.collect()] == []
+
+
+def test_aggregate_checks_and_kinds(spark):
+    e = Engine(spark)
+    v, o, three = e.relation("v", E2, [(1, 10), (1, 20), (2, 5)]), e.relation("o", E2), e.relation("three", "a bigint, b bigint, c bigint")
+    with pytest.raises(RuleError, match="new variable"):
+        e.rule(o(x, y), v(x, y), agg(y, "sum", y, [x]))
+    with pytest.raises(RuleError, match="share their grouping"):
+        e.rule(three(x, s, z), v(x, y), agg(s, "sum", y, [x]), agg(z, "max", y))
+    with pytest.raises(RuleError, match="unbound"):
+        e.rule(o(y, s), v(x, y), agg(s, "sum", y, [x]))
+    with pytest.raises(RuleError, match="bound"):
+        e.rule(o(x, s), v(x, y), agg(s, "sum", z, [x]))
+    with pytest.raises(NotStratifiableError):
+        Engine(spark).rule(o(x, s), o(x, y), agg(s, "sum", y, [x]))
+    both = e.relation("both", "a bigint, b bigint")
+    e.rule(three(x, s, z), v(x, y), agg(s, "sum", y, [x]), agg(z, lambda c: int(c.max() - c.min()), y, [x]))
+    e.rule(both(s, z), v(x, y), agg(s, "sum", y), agg(z, lambda c: int(c.max() - c.min()), y)).solve()
+    assert rows(three) == [(1, 30, 10), (2, 5, 0)] and rows(both) == [(35, 15)]
+
+
+def test_needs_a_shared_folder_outside_one_process(spark):
+    from types import SimpleNamespace
+
+    from tidelog.sources.tables import shared_dir
+
+    fake = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: None), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="local-cluster[3,2,1024]"))
+    with pytest.raises(RuntimeError, match="all executors share"):
+        shared_dir(fake)
+
+
+def fixpoint(facts, rules):
+    """Naive evaluation: ``rules`` from a dict of sets to pairs (name, rows) until nothing is new."""
+    while True:
+        size = sum(map(len, facts.values()))
+        for name, found in rules(facts):
+            facts[name] = facts.get(name, set()) | set(found)
+        if sum(map(len, facts.values())) == size:
+            return facts
+
+
+def test_ontology(spark):
+    from tidelog.catalog import _ontology
+
+    rng = random.Random(3)
+    pick = lambda k, n: {tuple(rng.randrange(7) for _ in range(k)) for _ in range(n)}
+    facts = {"p": pick(2, 6), "q": pick(3, 4), "r": pick(3, 3), "c": pick(3, 5), "u": pick(3, 4), "has": pick(2, 3)}
+    e = Engine(spark)
+    rel = {k: e.relation(k, ", ".join(f"c{i} bigint" for i in range(len(next(iter(f))))), sorted(f)) for k, f in facts.items()}
+    _ontology(e, *rel.values())
+    e.solve()
+
+    def step(f):
+        p, q = f["p"], f["q"]
+        yield "p", {(a, d) for a, b in p for c, d in p if b == c}
+        yield "q", {(a, c, d) for a, b in p for b2, c, d in q if b == b2}
+        yield "p", {(w, r) for a, b in p for b2, z, r in f["u"] if b == b2 for a2, w, z2 in q if a2 == a and z2 == z}
+        yield "p", {(r, z) for a, b, z in f["c"] for r, b2 in p if b2 == b and (r, a) in p}
+        yield "q", {(a, r, c) for a, b, c in q for b2, r in f["has"] if b == b2}
+        yield "q", {(a, w, o) for a, b, c in q for b2, r, w in f["r"] if b == b2 for c2, r2, o in q if (c2, r2) == (c, r)}
+
+    want = fixpoint(dict(facts), step)
+    assert rows(rel["p"]) == sorted(want["p"]) and rows(rel["q"]) == sorted(want["q"])
+
+
+def test_call_graph(spark):
+    from tidelog.catalog import _call_graph
+
+    rng = random.Random(8)
+    pick = lambda n, *tops: {tuple(rng.randrange(t) for t in tops) for _ in range(n)}
+    facts = {"main": {(0,)}, "implemented": pick(14, 3, 6, 8), "parent": pick(6, 6, 6), "alloc": pick(40, 9, 9, 8), "kind": pick(14, 9, 6), "call": pick(30, 12, 8, 9, 3), "local": pick(12, 9, 9, 8)}
+    e = Engine(spark)
+    rel = [e.relation(k, ", ".join(f"c{i} bigint" for i in range(len(next(iter(f))))), sorted(f)) for k, f in facts.items()]
+    reach, points, edge = _call_graph(e, *rel)
+    e.solve()
+    own = {(s_, t) for s_, t, _ in facts["implemented"]}
+
+    def step(f):
+        f.setdefault("lookup", set(f["implemented"])), f.setdefault("reach", set(f["main"])), f.setdefault("points", set())
+        yield "lookup", {(s_, t, m) for t, u in f["parent"] for s_, u2, m in f["lookup"] if u == u2 and (s_, t) not in own}
+        yield "points", {(h, v) for h, v, m in f["alloc"] if (m,) in f["reach"]}
+        yield "points", {(h, v) for a, v, m in f["local"] if (m,) in f["reach"] for h, a2 in f["points"] if a == a2}
+        found = {(i, m) for i, u, v, s_ in f["call"] if (u,) in f["reach"] for h, v2 in f["points"] if v == v2 for h2, t in f["kind"] if h == h2 for s2, t2, m in f["lookup"] if (s2, t2) == (s_, t)}
+        yield "reach", {(m,) for _, m in found}
+        yield "edge", found
+
+    want = fixpoint(dict(facts), step)
+    assert len(want["reach"]) > 2 and rows(reach) == sorted(want["reach"]) and rows(points) == sorted(want["points"]) and rows(edge) == sorted(want["edge"])
+
+
+def test_text_order(spark):
+    from tidelog.catalog import _text_order
+
+    rng = random.Random(6)
+    parent = {i: rng.randrange(i) for i in range(1, 25)}
+    gone = set(rng.sample(range(1, 25), 8))
+    e = Engine(spark)
+    four = "a bigint, b bigint, c bigint, d bigint"
+    insert, remove, result = e.relation("insert", four, [(i, i % 3, p, p % 3) for i, p in parent.items()]), e.relation("remove", E2, [(i, i % 3) for i in gone]), e.relation("result", four)
+    _text_order(e, insert, remove, result)
+    e.solve()
+    seen, todo = [], [0]
+    while todo:
+        i = todo.pop()
+        seen.append(i)
+        todo += sorted(k for k, p in parent.items() if p == i)  # later ones first
+    seen = [i for i in seen if i and i not in gone]
+    assert rows(result) == sorted((a, a % 3, b, b % 3) for a, b in zip(seen, seen[1:]))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.operators.relation import Relation, union
+from tidelog.operators.relation import Mark, Relation, union
 from tidelog.plans.compile import bindings, project
 from tidelog.plans.ir import Rule
 from tidelog.plans.strata import strata
-from tidelog.sources.tables import materialise
+from tidelog.sources.tables import materialise, scratch
 
 
 class Engine:
@@ -17,6 +17,9 @@ class Engine:
         self.rules: list[Rule] = []
         self.rounds = 0
         self._bodies: dict[int, DataFrame] = {}
+        #: By relation: how far the last solve has seen it; rules that have been solved at least once.
+        self._seen: dict[str, Mark] = {}
+        self._solved: set[int] = set()
 
     def relation(self, name: str, schema: str, rows=None, on_null: str = "error") -> Relation:
         r = Relation(self.spark, name, schema, on_null)
@@ -37,39 +40,50 @@ class Engine:
         return out
 
     def solve(self, max_rounds: int | None = None) -> Engine:
-        """Derive all facts. May be called again after more were inserted: positive strata go on from what they
-        have, those above a negation or an aggregate of something that changed are derived anew."""
+        """Derive all facts. May be called again after more were inserted, committed or derived by another engine.
+
+        Each engine remembers how far it has seen every relation. Positive rules go on from the facts that are new since then, joined with
+        what there is; nothing new, nothing runs. Relations above a negation or an aggregate of something that has
+        changed, or above facts that were taken back, are derived anew from what was inserted.
+        """
         relations = self.relations()
         self._bodies = {}
-        changed: set[str] = set()
-        stale: set[str] = set()
-        for group in strata(self.rules):
-            own = [r for r in self.rules if any(h.relation.name in group for h in r.heads)]
-            below = {a.relation.name for r in own for a in r.atoms} | {n.atom.relation.name for r in own for n in r.nots}
-            hard = {n.atom.relation.name for r in own for n in r.nots} | {a.relation.name for r in own if r.aggs for a in r.atoms}
-            before = {g: relations[g].count for g in group}
-            if (hard & changed or below & stale) and any(before.values()):
+        before, marks = dict(self._seen), {}
+        with scratch(lambda: [p for r in relations.values() for p in r.paths()]):
+            for group in strata(self.rules):
+                own = [r for r in self.rules if any(h.relation.name in group for h in r.heads)]
+                used = {a.relation.name for r in own for a in r.atoms} | {n.atom.relation.name for r in own for n in r.nots}
+                hard = {n.atom.relation.name for r in own for n in r.nots} | {a.relation.name for r in own if r.aggs for a in r.atoms}
                 for g in group:
-                    for new in [relations[g].take_pending()]:
-                        if new is not None:
-                            relations[g].base.append(materialise(new.distinct())[0])
-                    relations[g].reset()
-                stale |= set(group)
-            for g in group:
-                relations[g].commit()
-            if own:
-                self._stratum(group, own, relations, max_rounds)
-            changed |= {g for g in group if relations[g].count != before[g] or g in stale}
+                    relations[g].commit()
+                anew = any(relations[n].mark.epoch != before[n].epoch for n in used | set(group) if n in before)
+                anew = anew or any(n in before and relations[n].mark != before[n] for n in hard)
+                if anew:
+                    for g in group:
+                        relations[g].reset()
+                left = self._stratum(group, own, relations, before, anew, max_rounds) if own else {}
+                marks |= {g: left.get(g, relations[g].mark) for g in group}
+        self._seen |= marks
+        self._solved |= {id(r) for r in self.rules}
         return self
 
-    def _stratum(self, group: list[str], rules: list[Rule], relations: dict[str, Relation], max_rounds: int | None) -> None:
+    def _stratum(self, group: list[str], rules: list[Rule], relations: dict[str, Relation], before: dict[str, Mark], anew: bool, max_rounds: int | None) -> dict[str, Mark]:
+        """Returns the marks up to which facts were joined, of relations that ``max_rounds`` stopped before that."""
         total = {n: r.df() for n, r in relations.items()}
         derived: dict[str, list[DataFrame]] = {g: [] for g in group}
+        fresh = {n: relations[n].since(m) for n, m in before.items() if n in relations}
         for r in rules:
-            self._emit(r, [total[a.relation.name] for a in r.atoms], total, None, relations, derived)
+            names = [a.relation.name for a in r.atoms]
+            if anew or id(r) not in self._solved:
+                self._emit(r, [total[n] for n in names], total, None, relations, derived)
+                continue
+            for i, name in enumerate(names):  # what is new, with everything; both sides new are joined twice at most
+                if fresh[name] is not None:
+                    self._emit(r, [fresh[name] if j == i else total[n] for j, n in enumerate(names)], total, i, relations, derived)
         recursive = [(r, i) for r in rules for i, a in enumerate(r.atoms) if a.relation.name in group]
+        marks = {g: relations[g].mark for g in group}
         delta = self._advance(derived, relations)
-        if recursive:  # facts inserted before are a delta as well, but the full pass has joined them with each other
+        if recursive:  # facts inserted before are a delta as well, but the first pass has joined them with each other
             rounds = 0
             while delta and (max_rounds is None or rounds < max_rounds):
                 rounds += 1
@@ -86,8 +100,10 @@ class Engine:
                         frames.append(delta[name] if j == i else total[n] if n not in group else now[n] if j < i else old[n])
                     self._emit(r, frames, total, i, relations, derived)
                 total |= now
+                marks = {g: relations[g].mark for g in group}
                 delta = self._advance(derived, relations)
             self.rounds += rounds
+        return {g: marks[g] for g in delta} if recursive else {}
 
     def _emit(self, rule: Rule, frames, total, first, relations, derived) -> None:
         counts = [relations[a.relation.name].count for a in rule.atoms]
@@ -107,7 +123,7 @@ class Engine:
         for g, frames in derived.items():
             if frames:
                 r = relations[g]
-                r.add(union(frames))
+                r.add(union(frames), derived=True)
                 if r.delta is not None:
                     delta[g] = r.delta
         return delta

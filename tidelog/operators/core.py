@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.operators.extend import Extender, extended
 from tidelog.operators.relation import union, without
 from tidelog.sources.tables import materialise
 
@@ -141,8 +142,6 @@ class Iteration:
 class Leaper:
     """A step of a leapjoin. ``keys``: from the source's columns to the key; the relation has key columns, then the value."""
 
-    proposes = False
-
     def __init__(self, df: DataFrame | None = None, keys: Callable[..., tuple] | None = None, test: Callable[..., Column] | None = None):
         self.df, self.keys, self.test = df, keys, test
 
@@ -153,20 +152,17 @@ class Leaper:
         on = reduce(operator.and_, [k == F.col(f"r{i}") for i, k in enumerate(ks)])
         if value:
             on = on & (F.col("val") == F.col(f"r{len(ks)}"))
-        out = s.join(r, on, how)
-        return out.select(*s.columns, F.col(f"r{len(ks)}").alias("val")) if how == "inner" else out
+        return s.join(r, on, how)
 
 
 class ExtendWith(Leaper):
     """Values under the source's key: proposes, or keeps those proposed that are present."""
 
-    proposes = True
-
-    def propose(self, s: DataFrame, n: int) -> DataFrame:
-        return self._joined(s, n, "inner", False)
-
-    def apply(self, s: DataFrame, n: int) -> DataFrame:
-        return self._joined(s, n, "left_semi", True)
+    def extender(self, n: int, tag: str) -> Extender:
+        keys = self.keys(*[F.col(f"s{i}") for i in range(n)])
+        keys = list(keys) if isinstance(keys, tuple) else [keys]
+        names = [f"{tag}{i}" for i in range(len(self.df.columns))]
+        return self.df.toDF(*names), keys, names[: len(keys)], names[len(keys)]
 
 
 class ExtendAnti(Leaper):
@@ -236,8 +232,8 @@ class RelationLeaper:
 def leapjoin(source: DataFrame, leapers: list, logic: Callable[..., tuple]) -> DataFrame:
     """``logic(source columns.., value)`` of the source's rows with every value that all leapers agree on.
 
-    Tests of the source run first, then the first extension proposes and the others keep or drop.
-    With no extension the rows go on without a value; an anti-extension alone has nothing to drop from.
+    Tests of the source run first, then for each row the extension with fewest values proposes, the other extensions keep what they
+    have too, and the rest keep or drop. With no extension the rows go on without a value; an anti-extension alone has nothing to drop from.
     """
     n = len(source.columns)
     s = source.toDF(*[f"s{i}" for i in range(n)])
@@ -246,11 +242,11 @@ def leapjoin(source: DataFrame, leapers: list, logic: Callable[..., tuple]) -> D
     for x in [x for x in leapers if isinstance(x, Leaper) and not isinstance(x, values)]:
         s = x.apply(s, n)
     extend = [x for x in leapers if isinstance(x, ExtendWith)]
-    rest = [x for x in leapers if isinstance(x, values) and x not in extend[:1]]
+    rest = [x for x in leapers if isinstance(x, values) and not isinstance(x, ExtendWith)]
     if rest and not extend:
         raise ValueError("nothing proposes values")
     if extend:
-        s = extend[0].propose(s, n)
+        s = extended(s, "val", [x.extender(n, f"x{i}_") for i, x in enumerate(extend)])
     for x in rest:
         s = x.apply(s, n)
     for f in custom:

@@ -3,20 +3,44 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelog.plans.ir import Atom, RuleError
-from tidelog.sources.tables import materialise
+from tidelog.sources.tables import materialise, table_path
 
 #: Parts of a total before it is written anew as one.
 MOST_PARTS = 8
+#: From this many rows on a total isn't shuffled for new rows of at most ``SENT_BYTES``, which are broadcast to it instead.
+LARGE_TOTAL, SENT_BYTES = 1_000_000, 32 << 20
+
+
+@dataclass(frozen=True)
+class Mark:
+    """A state of a relation: facts were taken back ``epoch`` times, and since then came in ``number`` parts."""
+
+    epoch: int
+    number: int
+
+
+@dataclass
+class Part:
+    """Facts that came in as the parts from ``first`` to ``last``."""
+
+    df: DataFrame
+    count: int
+    first: int
+    last: int
 
 
 class Relation:
-    """A set of rows of one schema. ``on_null``: what inserting a null does: "error", "drop" or "keep"."""
+    """A set of rows of one schema. ``on_null``: what inserting a null does: "error", "drop" or "keep".
+
+    A null that is kept equals itself in a set of facts, but unknown is unknown to rules: no atom joins on it, and no constant or test matches it.
+    """
 
     def __init__(self, spark: SparkSession, name: str, schema: str | T.StructType, on_null: str = "error"):
         self.spark, self.name, self.on_null = spark, name, on_null
@@ -26,8 +50,10 @@ class Relation:
         self.arity = len(self.schema.fields)
         self.pending: list[DataFrame] = []
         self.base: list[DataFrame] = []
-        self.parts: list[tuple[DataFrame, int]] = []
+        self.parts: list[Part] = []
         self.delta: DataFrame | None = None
+        self.mark = Mark(0, 0)
+        self.holds_derived = False
 
     def __call__(self, *args) -> Atom:
         return Atom(self, args)
@@ -63,37 +89,61 @@ class Relation:
         """Move inserted facts to the total, without an engine."""
         new = self.take_pending()
         if new is not None:
-            self.base.append(self.add(new))
+            if self.holds_derived:  # an inserted fact stays when the same one, derived before, goes
+                new, _ = materialise(new.distinct())
+                self.base.append(new)
+                self.add(new)
+            else:
+                self.base.append(self.add(new))
         return self
 
-    def add(self, rows: DataFrame) -> DataFrame:
+    def add(self, rows: DataFrame, derived: bool = False) -> DataFrame:
         """Write those of ``rows`` that are new, as the delta and a part of the total."""
+        self.holds_derived |= derived
         new = rows.distinct()
-        if self.parts:
-            new = without(new, self.df())
+        if self.count >= LARGE_TOTAL:
+            new, n = materialise(new)
+            if n * row_bytes(self.schema) <= SENT_BYTES:  # the total is read where it lies
+                known = same_rows(self.df(), F.broadcast(new), "left_semi")
+                new = same_rows(new, known, "left_anti")
+            else:
+                new = same_rows(new, self.df(), "left_anti")
+        elif self.parts:
+            new = same_rows(new, self.df(), "left_anti")
         part, n = materialise(new)
         self.delta = part if n else None
         if n:
-            self.parts.append((part, n))
+            number = self.mark.number + 1
+            self.mark = Mark(self.mark.epoch, number)
+            self.parts.append(Part(part, n, number, number))
         if len(self.parts) > MOST_PARTS:
-            self.parts = [materialise(self.df())]
+            self.parts = [Part(*materialise(self.df()), self.parts[0].first, self.parts[-1].last)]
         return part
 
     def reset(self) -> None:
         """Forget derived facts; inserted ones stay."""
-        self.parts, self.delta = [], None
+        self.parts, self.delta, self.holds_derived = [], None, False
+        self.mark = Mark(self.mark.epoch + 1, 0)
         facts = union(self.base)
         if facts is not None:
             self.add(facts)
 
+    def since(self, mark: Mark) -> DataFrame | None:
+        """Facts that came in after ``mark``, maybe with some from before where parts were written anew as one."""
+        return union([p.df for p in self.parts if self.mark.epoch != mark.epoch or p.last > mark.number])
+
+    def paths(self) -> list[str]:
+        """The tables that the relation needs."""
+        return [path for df in (*self.base, *(p.df for p in self.parts)) if (path := table_path(df))]
+
     # facts out
 
     @property
     def count(self) -> int:
-        return sum(n for _, n in self.parts)
+        return sum(p.count for p in self.parts)
 
     def df(self) -> DataFrame:
-        out = union([p for p, _ in self.parts])
+        out = union([p.df for p in self.parts])
         return self.spark.createDataFrame([], self.schema) if out is None else out
 
     def is_empty(self) -> bool:
@@ -108,7 +158,8 @@ class Relation:
         if self.pending:
             raise RuntimeError(f"{self.name} has facts that aren't solved")
         out = self.peek()
-        self.parts, self.base, self.delta = [], [], None
+        self.base = []
+        self.reset()
         return out
 
     def contains(self, *row) -> bool:
@@ -128,15 +179,24 @@ def union(frames: list[DataFrame]) -> DataFrame | None:
     return out
 
 
+def same_rows(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    """``left``'s rows that are (``left_semi``) or aren't (``left_anti``) in ``right``; nulls are equal."""
+    fields, on = left.schema.fields, F.lit(True)
+    l, r = left.toDF(*[f"l{i}" for i in range(len(fields))]), right.toDF(*[f"r{i}" for i in range(len(fields))])  # noqa: E741
+    for i, f in enumerate(fields):
+        on = on & (F.col(f"l{i}").eqNullSafe(F.col(f"r{i}")) if f.nullable else F.col(f"l{i}") == F.col(f"r{i}"))
+    return l.join(r, on, how).toDF(*left.columns)
+
+
 def without(new: DataFrame, total: DataFrame) -> DataFrame:
     """Rows of ``new`` that aren't in ``total``; nulls are equal."""
-    names = [f"t{i}" for i in range(len(total.columns))]
-    right = total.toDF(*names)
-    on = F.lit(True)
-    left = new.toDF(*[f"n{i}" for i in range(len(names))])
-    for i, f in enumerate(new.schema.fields):
-        on = on & (F.col(f"n{i}").eqNullSafe(F.col(f"t{i}")) if f.nullable else F.col(f"n{i}") == F.col(f"t{i}"))
-    return left.join(right, on, "left_anti").toDF(*new.columns)
+    return same_rows(new, total, "left_anti")
+
+
+def row_bytes(schema: T.StructType) -> int:
+    """What a row takes at most, as far as its types tell; text is taken for 256 bytes."""
+    fixed = {T.ByteType: 8, T.ShortType: 8, T.IntegerType: 8, T.LongType: 8, T.FloatType: 8, T.DoubleType: 8, T.BooleanType: 8, T.DateType: 8, T.TimestampType: 8}
+    return 16 + sum(fixed.get(type(f.dataType), 256) for f in schema.fields)
 
 
 def distinct(df: DataFrame) -> DataFrame:
@@ -148,7 +208,8 @@ def from_rows(spark: SparkSession, name: str, schema: str, rows: Iterable, assum
     r = Relation(spark, name, schema)
     if assume_distinct:
         part, n = materialise(spark.createDataFrame(list(rows), r.schema))
-        r.parts, r.base = [(part, n)] if n else [], [part]
+        if n:
+            r.parts, r.base, r.mark = [Part(part, n, 1, 1)], [part], Mark(0, 1)
         return r
     return r.insert(rows).commit()
 

@@ -3,6 +3,10 @@
 Every occurrence of a relation gets column names of its own, so Catalyst never sees one attribute twice. Tests and
 negations are placed as soon as their variables are bound; variables that nothing above needs are dropped, but not under
 an aggregate, which counts the distinct bindings of all variables.
+
+A body whose atoms form a cycle isn't joined atom by atom, which would make all paths before the cycle closes, but variable by
+variable: of the atoms that hold the next one, the one with fewest values for a row proposes them and the others check. So a hub
+costs what the smaller side has, and no intermediate result outgrows the worst case of the whole body.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.operators.extend import extended
 from tidelog.plans.ir import WILD, Agg, Atom, Cmp, Rule, Var
 
 _OPS = {"<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge, "==": operator.eq, "!=": operator.ne}
@@ -56,6 +61,54 @@ def order_atoms(rule: Rule, first: int | None, counts: list[int | None]) -> list
     return order
 
 
+def is_cyclic(atoms: tuple[Atom, ...]) -> bool:
+    """Whether no order of ears takes the body apart (an ear: its shared variables all lie in one other atom)."""
+    left = [set(a.vars()) for a in atoms]
+    while len(left) > 1:
+        for i, own in enumerate(left):
+            rest = left[:i] + left[i + 1 :]
+            shared = own & set().union(*rest)
+            if any(shared <= other for other in rest):
+                left = rest
+                break
+        else:
+            return True
+    return False
+
+
+def _next_variable(atoms, bound: set[str]) -> str:
+    """The variable that most atoms with a bound one hold; the first of them."""
+    free = list(dict.fromkeys(v for a in atoms for v in a.vars() if v not in bound))
+    return max(free, key=lambda v: (sum(v in a.vars() and bool(set(a.vars()) & bound) for a in atoms), -free.index(v)))
+
+
+def _by_variable(rule: Rule, frames: list[DataFrame], start: int):
+    """Yields the bindings so far and the variables bound, first of atom ``start``, then with one variable more each time."""
+    first = atom_frame(rule.atoms[start], frames[start], "a")
+    bound = set(rule.atoms[start].vars())
+    out = yield first.select(*[F.col(f"a_{n}").alias(_v(n)) for n in sorted(bound)]), set(bound)
+    others = [(a, atom_frame(a, f, "x")) for i, (a, f) in enumerate(zip(rule.atoms, frames, strict=True)) if i != start]
+    for a, df in others:
+        if set(a.vars()) <= bound:
+            out = out.join(df, reduce(operator.and_, [F.col(_v(n)) == F.col(f"x_{n}") for n in a.vars()]), "left_semi")
+    while free := {v for a in rule.atoms for v in a.vars()} - bound:
+        v = _next_variable(rule.atoms, bound)
+        extenders, alone = [], []
+        for a, df in others:
+            keys = [n for n in a.vars() if n in bound]
+            if v in a.vars():
+                values = df.select(*[F.col(f"x_{n}") for n in (*keys, v)])
+                values = values if set(a.vars()) <= bound | {v} else values.distinct()
+                (extenders if keys else alone).append((values, [_v(n) for n in keys], [f"x_{n}" for n in keys], f"x_{v}"))
+        out = extended(out, _v(v), extenders or alone[:1])
+        for values, _, _, x in alone if extenders else alone[1:]:
+            out = out.join(values, F.col(_v(v)) == F.col(x), "left_semi")
+        bound |= {v}
+        out = yield out, set(bound)
+        if not free - {v}:
+            return
+
+
 def _test(t) -> Column:
     if isinstance(t, Cmp):
         side = lambda a: F.col(_v(a.name)) if isinstance(a, Var) else F.lit(a)
@@ -67,6 +120,31 @@ def bindings(rule: Rule, frames: list[DataFrame], negated: list[DataFrame], firs
     """The rule's bindings as columns ``v_<variable>`` (not distinct)."""
     order = order_atoms(rule, first, counts or [None] * len(frames))
     tests, nots = list(rule.tests), list(enumerate(rule.nots))
+
+    def checked(out: DataFrame, bound: set[str]) -> DataFrame:
+        for t in [t for t in tests if set(t.vars()) <= bound]:
+            out = out.filter(_test(t))
+            tests.remove(t)
+        for j, n in [x for x in nots if set(x[1].atom.vars()) <= bound]:
+            no = atom_frame(n.atom, negated[j], f"n{j}")
+            names = n.atom.vars()
+            if names:
+                on = reduce(operator.and_, [F.col(_v(x)) == F.col(f"n{j}_{x}") for x in names])
+                out = out.join(no, on, "left_anti")
+            else:
+                out = out.join(no.limit(1).select(F.lit(1).alias(f"n{j}_")), F.lit(True), "left_anti")
+            nots.remove((j, n))
+        return out
+
+    if all(a.vars() for a in rule.atoms) and is_cyclic(rule.atoms):
+        steps = _by_variable(rule, frames, order[0])
+        out, bound = next(steps)
+        while True:
+            out = checked(out, bound)
+            try:
+                out, bound = steps.send(out)
+            except StopIteration:
+                return grouped(rule.aggs, out) if rule.aggs else out
     out: DataFrame | None = None
     bound: set[str] = set()
     for k, i in enumerate(order):
@@ -89,18 +167,7 @@ def bindings(rule: Rule, frames: list[DataFrame], negated: list[DataFrame], firs
             else:
                 out = out.join(df, on, "left_semi")
         bound |= set(own)
-        for t in [t for t in tests if set(t.vars()) <= bound]:
-            out = out.filter(_test(t))
-            tests.remove(t)
-        for j, n in [x for x in nots if set(x[1].atom.vars()) <= bound]:
-            no = atom_frame(n.atom, negated[j], f"n{j}")
-            names = n.atom.vars()
-            if names:
-                on = reduce(operator.and_, [F.col(_v(x)) == F.col(f"n{j}_{x}") for x in names])
-                out = out.join(no, on, "left_anti")
-            else:
-                out = out.join(no.limit(1).select(F.lit(1).alias(f"n{j}_")), F.lit(True), "left_anti")
-            nots.remove((j, n))
+        out = checked(out, bound)
         if not rule.aggs:
             later = {v for x in order[k + 1 :] for v in rule.atoms[x].vars()} | {v for t in tests for v in t.vars()}
             later |= {v for _, n in nots for v in n.atom.vars()} | {v for h in rule.heads for v in h.vars()}
@@ -121,18 +188,29 @@ def _reducer(fn: Callable) -> Callable:
 
 
 def grouped(aggs: tuple[Agg, ...], df: DataFrame) -> DataFrame:
+    """Built-in aggregates are combined before the shuffle; a function of one's own gets each group whole, a global one
+    the whole input in one task. Where a rule has both kinds they are computed apart and joined on the groups."""
     df = df.distinct()
-    by = [F.col(_v(v.name)) for v in aggs[0].by]
-    cols = []
-    for a in aggs:
-        value = F.col(_v(a.value.name))
-        if isinstance(a.fn, str):
-            cols.append(_AGGS[a.fn](value).alias(_v(a.out.name)))
-        else:
-            cols.append(F.pandas_udf(_reducer(a.fn), a.returns)(value).alias(_v(a.out.name)))
+    by = [_v(v.name) for v in aggs[0].by]
+    kinds = [[a for a in aggs if isinstance(a.fn, str)], [a for a in aggs if not isinstance(a.fn, str)]]
+    frames = [_one_kind(own, by, df) for own in kinds if own]
+    if len(frames) == 1:
+        return frames[0]
+    left, right = frames
+    if not by:
+        return left.crossJoin(right)  # a row each
+    right = right.withColumnsRenamed({c: f"g_{c}" for c in by})
+    on = reduce(operator.and_, [F.col(c).eqNullSafe(F.col(f"g_{c}")) for c in by])
+    return left.join(right, on).drop(*[f"g_{c}" for c in by])
+
+
+def _one_kind(aggs: list[Agg], by: list[str], df: DataFrame) -> DataFrame:
+    builtin = isinstance(aggs[0].fn, str)
+    call = lambda a: _AGGS[a.fn] if builtin else F.pandas_udf(_reducer(a.fn), a.returns)
+    cols = [call(a)(F.col(_v(a.value.name))).alias(_v(a.out.name)) for a in aggs]
     if by:
         return df.groupBy(*by).agg(*cols)
-    if all(isinstance(a.fn, str) for a in aggs):
+    if builtin:
         return df.groupBy().agg(*cols, F.count(F.lit(1)).alias("v_rows")).filter("v_rows > 0").drop("v_rows")
     return df.groupBy(F.lit(0).alias("v_all")).agg(*cols).drop("v_all")
 

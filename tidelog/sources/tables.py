@@ -2,28 +2,66 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors share. Only a session that runs in one process may go without: it gets a local one."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidelog-")
         spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+#: For each :func:`scratch` under way, the tables written since it began.
+class _Stack(threading.local):
+    def __init__(self):
+        self.lists: list[list[tuple[SparkSession, str]]] = []
+
+
+_written = _Stack()
+
+
 def materialise(df: DataFrame) -> tuple[DataFrame, int]:
     """``df`` written to the shared folder and read back, and its row count; one job. The lineage ends here."""
     seen = Observation()
     path = f"{shared_dir(df.sparkSession)}/facts-{uuid.uuid4().hex}"
+    if _written.lists:
+        _written.lists[-1].append((df.sparkSession, path))
     df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), int(seen.get["n"])
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._facts_path = path
+    return out, int(seen.get["n"])
+
+
+def table_path(df: DataFrame) -> str | None:
+    """Where ``df`` was written, if :func:`materialise` returned it."""
+    return getattr(df, "_facts_path", None)
+
+
+@contextlib.contextmanager
+def scratch(needed: Callable[[], list[str]]) -> Iterator[None]:
+    """Delete the tables written meanwhile at the end, but for those that are ``needed`` then. Older tables are left alone."""
+    _written.lists.append([])
+    try:
+        yield
+    finally:
+        kept, made = set(needed()), _written.lists.pop()
+        for spark, path in made:
+            if path not in kept:
+                at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def read_facts(spark: SparkSession, path: str, schema: str, sep: str = ",") -> DataFrame:
