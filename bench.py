@@ -8,7 +8,8 @@ from pyspark.sql import SparkSession
 
 from tidelog.catalog import queries
 
-HEADLINE = ("tc_linear", "tc_nonlinear", "tc_cycle", "tc_seeded", "magic_set", "same_generation", "triangle", "square", "neg_edb", "agg_over_idb", "incremental_two_phase", "leap_intersect")
+#: tc_cycle and same_generation are left out: over whole tables their results have 20 and 90 million rows at sf0.1.
+HEADLINE = ("tc_linear", "tc_nonlinear", "tc_seeded", "magic_set", "triangle", "square", "neg_edb", "neg_idb", "agg_filtered", "agg_over_idb", "incremental_two_phase", "leap_intersect", "text_order")
 
 
 def main() -> None:
