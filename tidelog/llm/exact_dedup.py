@@ -28,6 +28,8 @@ from tidelog.llm.common import WS, Box, KeyFilter, columns, key_filter, maybe_in
 
 #: Rows of one group that one task compares.
 PER_TASK = 20_000
+#: Groups of more rows than that whose digests are broadcast, of about 100 bytes each.
+MOST_HOT = 200_000
 
 
 def normalised(text: Column) -> Column:
@@ -110,9 +112,10 @@ def hits(rows: DataFrame, box: Box, many: DataFrame) -> DataFrame:
     filt = key_filter(many, "digest", "lsm-filter")
     texts = rows.select("digest", "key", box.inside("row", "text").cast("string").alias("text"))
     salts = F.ceil(F.col("n") / PER_TASK).cast("int")
-    hot = many.filter(F.col("n") > PER_TASK).select("digest", salts.alias("salts"))  # at most a row for every PER_TASK rows
+    hot, count = save_counted(many.filter(F.col("n") > PER_TASK).select("digest", salts.alias("salts")), "lsm-hot")
+    hot = F.broadcast(hot) if count <= MOST_HOT else hot
     found = maybe_in(texts, "digest", filt).filter("__maybe").select("digest", "key", normalised(F.col("text")).alias("text"))
-    found = found.join(F.broadcast(hot), "digest", "left").withColumn("salt", F.pmod(F.xxhash64("key.rid"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    found = found.join(hot, "digest", "left").withColumn("salt", F.pmod(F.xxhash64("key.rid"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
     found = save(found, "lsm-hits")
     dealt = many.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
     known = save(found.join(dealt, ["digest", "salt"]).select("digest", "salt", "key", "first", "n", "text"), "lsm-known")
