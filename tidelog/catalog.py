@@ -13,6 +13,7 @@ from tidelog.operators import core
 from tidelog.operators.relation import Relation, from_map, from_rows, merge
 from tidelog.plans.ir import WILD, agg, variables, where
 from tidelog.sources.tables import materialise, read_facts, shared_dir
+from tidelog.streaming.incremental import feed
 
 E2 = "a bigint, b bigint"
 QUERIES: dict = {}
@@ -514,6 +515,18 @@ def load_text(spark, d):
     return out
 
 
+@query(f"WITH RECURSIVE {HIER}, tc AS ({TC.format('hier')}) SELECT a, b FROM tc")
+def stream_closure(spark, d):
+    """The closure of a tree whose edges arrive as a stream."""
+    e = Engine(spark)
+    edge, o = e.relation("edge", E2), e.relation("tc", E2)
+    e.rule(o(x, y), edge(x, y)).rule(o(x, z), o(x, y), edge(y, z))
+    schema = table(spark, d, "customer").schema
+    edges = spark.readStream.schema(schema).parquet(f"{d}/customer[.]parquet").filter("c_custkey > 1").selectExpr("c_custkey AS a", "c_custkey div 2 AS b")
+    feed(edges, edge, e, f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}", available_now=True).awaitTermination()
+    return o.df()
+
+
 def _ontology(e: Engine, p: Relation, q: Relation, r: Relation, c: Relation, u: Relation, has: Relation) -> None:
     """Classification of concepts: subsumption ``p`` and roles ``q``, mutually recursive and non-linear."""
     v = variables("a b c d e f")

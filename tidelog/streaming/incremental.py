@@ -11,8 +11,9 @@ from tidelog.engine import Engine
 from tidelog.operators.relation import Relation
 
 
-def feed(stream: DataFrame, relation: Relation, engine: Engine, checkpoint: str, then: Callable[[int], None] | None = None) -> StreamingQuery:
-    """Start a query that inserts every micro-batch of ``stream`` into ``relation`` and solves ``engine``.
+def feed(stream: DataFrame, relation: Relation, engine: Engine, checkpoint: str, then: Callable[[int], None] | None = None, available_now: bool = False) -> StreamingQuery:
+    """Start a query that inserts every micro-batch of ``stream`` into ``relation`` and solves ``engine``, which joins only the new
+    facts with what there is. ``available_now``: end once all that is there now has been read.
 
     Facts are sets, so a micro-batch that is delivered again changes nothing.
     """
@@ -23,4 +24,5 @@ def feed(stream: DataFrame, relation: Relation, engine: Engine, checkpoint: str,
         if then:
             then(number)
 
-    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch).start()
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
