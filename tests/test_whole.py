@@ -32,7 +32,7 @@ def test_whole_relation(spark, folder):
         "square": {(a, b, c, e) for a, b, c in two for d, e in g if c == d and (e, a) in g},
         "neg_idb": {(a, d) for (a, b), (c, d) in product(free, free) if b == c},
         "agg_filtered": {(a, sum(b for c, b in g if c == a and b >= 10), sum(c == a and b >= 10 for c, b in g)) for a, b in g if b >= 10},
-        "core_antijoin": {(a, b) for a, b in g if a not in {d for _, d in g}},
+        "core_antijoin": {(b, a) for a, b in g if b not in {c for c, _ in g}},
         "leap_intersect": {(a, b, c) for a, b, c in two if (a, c) in g},
         "literal_atom": {(b,) for a, b in g if a == 3},
     }

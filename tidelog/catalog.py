@@ -355,11 +355,11 @@ def core_map_filtered(spark, d):
     return out.complete()
 
 
-@query(f"WITH {G} SELECT DISTINCT a, b FROM g WHERE a NOT IN (SELECT b FROM g)")
+@query(f"WITH {G} SELECT DISTINCT b AS a, a AS b FROM g WHERE b NOT IN (SELECT a FROM g)")
 def core_antijoin(spark, d):
     it = core.Iteration(spark)
-    src, out = it.variable("src", E2).insert(g(spark, d)), it.variable("out", E2)
-    keys = g(spark, d).select("b").distinct()
+    src, out = it.variable("src", E2).insert(g(spark, d).select("b", "a")), it.variable("out", E2)
+    keys = g(spark, d).select("a").distinct()
     while it.changed():
         out.from_antijoin(src, keys)
     return out.complete()
@@ -521,8 +521,7 @@ def stream_closure(spark, d):
     e = Engine(spark)
     edge, o = e.relation("edge", E2), e.relation("tc", E2)
     e.rule(o(x, y), edge(x, y)).rule(o(x, z), o(x, y), edge(y, z))
-    schema = table(spark, d, "customer").schema
-    edges = spark.readStream.schema(schema).parquet(f"{d}/customer[.]parquet").filter("c_custkey > 1").selectExpr("c_custkey AS a", "c_custkey div 2 AS b")
+    edges = spark.readStream.schema("c_custkey bigint").parquet(f"{d}/customer[.]parquet").filter("c_custkey > 1").selectExpr("c_custkey AS a", "c_custkey div 2 AS b")
     feed(edges, edge, e, f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}", available_now=True).awaitTermination()
     return o.df()
 
