@@ -618,7 +618,7 @@ def call_graph(spark, d):
         e.relation("alloc", three, table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")),
         e.relation("kind", E2, orders.join(cust, orders.o_custkey == cust.c_custkey).select("o_orderkey", "c_nationkey")),
         e.relation("call", four, part.selectExpr("p_partkey", "p_size", "p_partkey", "p_size div 5")),
-        e.relation("local", three, part.selectExpr("p_partkey", "p_partkey div 2", "p_size")),
+        e.relation("local", three, part.selectExpr("p_partkey", "p_size", "p_size")),
     )
     e.solve()
     return edge.df().selectExpr("'edge' AS kind", "a", "b").unionByName(reach.df().selectExpr("'reach' AS kind", "m AS a", "cast(null as bigint) AS b"))
