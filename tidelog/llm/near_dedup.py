@@ -417,12 +417,15 @@ def _numbered_groups(rows: DataFrame, width: int, percent: int, trees: int = 6,
     return out.select("rid", "doc_id", F.col("n").alias("n_shingles"), F.col("head.doc_id").alias("component_id"), (F.col("rid") == F.col("head.rid")).alias("kept"))
 
 
-def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` of which one of each component stays, with all their columns."""
+def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80, depth: int = 3) -> DataFrame:
+    """The rows of ``docs`` of which one of each component stays, with all their columns.
+
+    ``depth`` is less than in ``near_groups``: at a lower threshold each level takes many more trees for the same recall.
+    """
     box = Box(docs)
     kept = save(box.rows.select(box.struct().alias("row"), F.monotonically_increasing_id().alias("rid")), "near-rows")
     rows = kept.select("rid", box.inside("row", "doc_id").cast("long").alias("doc_id"), box.inside("row", "text").cast("string").alias("text"))
-    gone = settle(docs.sparkSession, "near-gone", lambda: _numbered_groups(rows, width, percent).filter("not kept").select("rid"))
+    gone = settle(docs.sparkSession, "near-gone", lambda: _numbered_groups(rows, width, percent, depth=depth).filter("not kept").select("rid"))
     tested = maybe_in(kept, "rid", key_filter(gone, "rid", "near-filter"))
     rows = tested.filter("not __maybe").select("row").unionByName(tested.filter("__maybe").join(gone, "rid", "left_anti").select("row"))
     return rows.select(*box.out("row"))
