@@ -17,10 +17,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import Box, columns, small_batches, with_null, without_null
+from tidelog.llm.common import Box, columns, save, small_batches, with_null, without_null
 
 SIZES = (3, 4, 5)
 DIMS = 1 << 20
@@ -126,9 +126,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, longest: in
     picked = [known.filter(F.col("toxic") == k).orderBy(by_hash).limit(4 * n) for k, n in most.items()]
     rows = columns(docs, doc_id="long", text="string").filter(F.coalesce(F.length("text"), F.lit(0)) <= longest)
     held = rows.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")  # at most 12 * per_class ids
-    wanted = held.groupBy("toxic", "doc_id").agg(F.min("text").alias("text"))
-    first = F.row_number().over(Window.partitionBy("toxic").orderBy(by_hash))  # of the ids looked up, no more
-    sample = wanted.withColumn("k", first).filter(F.col("k") <= F.when(F.col("toxic") == 1, most[1]).otherwise(most[0]))
+    wanted = save(held.groupBy("toxic", "doc_id").agg(F.min("text").alias("text")), "toxic-sample")
+    first = [wanted.filter(F.col("toxic") == k).orderBy(by_hash).limit(n) for k, n in most.items()]
+    sample = first[0].unionByName(first[1])
     found = sample.select("doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text")).orderBy("doc_id").toPandas()
     return fit(found["text"].tolist(), found["toxic"].to_numpy())
 
