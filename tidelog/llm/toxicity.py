@@ -48,33 +48,48 @@ def _hashes(codes: np.ndarray):
             yield n, (h ^ (h >> np.uint32(15))) * np.uint32(2246822519) >> np.uint32(12)
 
 
-def grams(texts: list[str], place: np.ndarray, chars: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs (text's number, feature's number) of the n-grams that ``place`` knows."""
-    docs, features = [], []
-    lengths = np.array([len(t) for t in texts], np.int64)
+def _runs(lengths, chars: int):
+    """Places (first, last) of runs of texts of about ``chars`` characters; a longer text is a run of its own."""
     first = 0
-    while first < len(texts):  # runs of texts of about ``chars`` characters; a longer text is a run of its own
+    while first < len(lengths):
         last, held = first, 0
-        while last < len(texts) and (last == first or held + lengths[last] <= chars):
+        while last < len(lengths) and (last == first or held + lengths[last] <= chars):
             held += lengths[last]
             last += 1
-        codes = np.frombuffer("\n".join(texts[first:last]).lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        own = np.array([len(t.lower()) for t in texts[first:last]], np.int64) + 1
-        start = np.cumsum(own) - own
-        keys = []
-        for n, h in _hashes(codes) if len(codes) else ():
-            f = place[h]
-            at = np.flatnonzero(f)
-            d = np.searchsorted(start, at, "right") - 1
-            inside = at + n <= start[d] + own[d] - 1
-            keys.append(d[inside] * len(place) + f[at[inside]])
-        if keys:
-            k = np.unique(np.concatenate(keys))
-            docs.append(k // len(place) + first)
-            features.append(k % len(place))
+        yield first, last
         first = last
-    if not docs:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+
+def _known(codes: np.ndarray, own: np.ndarray, place: np.ndarray, most: int | None = None) -> np.ndarray:
+    """Distinct keys (text's number * (len(place) + 1) + feature's number: from 1 to len(place)) of the n-grams that ``place`` knows and that begin before
+    place ``most``. ``codes``: texts of lengths ``own`` one after the other, each length with a separator."""
+    start = np.cumsum(own) - own
+    keys = [np.zeros(0, np.int64)]
+    for n, h in _hashes(codes) if len(codes) else ():
+        f = place[h[:most]]
+        at = np.flatnonzero(f)
+        d = np.searchsorted(start, at, "right") - 1
+        inside = at + n <= start[d] + own[d] - 1
+        keys.append(d[inside] * (len(place) + 1) + f[at[inside]])
+    return np.unique(np.concatenate(keys))
+
+
+def grams(texts: list[str], place: np.ndarray, chars: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs (text's number, feature's number) of the n-grams that ``place`` knows. A text of over ``chars``
+    characters goes in slices of as many, each with the characters that its last n-grams reach into."""
+    docs, features = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    codes = lambda t: np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+    for first, last in _runs([len(t) for t in texts], chars):
+        if len(texts[first]) > chars:
+            low, k = texts[first].lower(), np.zeros(0, np.int64)
+            for at in range(0, len(low), chars):
+                part = codes(low[at : at + chars + max(SIZES) - 1])
+                k = np.union1d(k, _known(part, np.array([len(part) + 1], np.int64), place, chars))
+        else:
+            own = np.array([len(t.lower()) for t in texts[first:last]], np.int64) + 1
+            k = _known(codes("\n".join(texts[first:last]).lower()), own, place)
+        docs.append(k // (len(place) + 1) + first)
+        features.append(k % (len(place) + 1))
     return np.concatenate(docs), np.concatenate(features)
 
 
@@ -86,9 +101,10 @@ def fit(texts: list[str], labels: np.ndarray, most: int = 4096, floor: float = 3
         return Model(np.zeros(DIMS, np.int32), np.zeros(1), -40.0)
     df1, df0 = np.zeros(DIMS), np.zeros(DIMS)
     every = np.arange(1, DIMS + 1, dtype=np.int32)
-    for k in range(0, len(texts), 200):
-        d, f = grams(texts[k : k + 200], every)
-        toxic = labels[k + d] > 0
+    runs = list(_runs([len(t) for t in texts], 1 << 19))
+    for first, last in runs:
+        d, f = grams(texts[first:last], every)
+        toxic = labels[first + d] > 0
         df1 += np.bincount(f[toxic] - 1, minlength=DIMS)
         df0 += np.bincount(f[~toxic] - 1, minlength=DIMS)
     ratio = np.log((df1 + 1) / (n1 + 2)) - np.log((df0 + 1) / (n0 + 2))
@@ -99,16 +115,30 @@ def fit(texts: list[str], labels: np.ndarray, most: int = 4096, floor: float = 3
     place = np.zeros(DIMS, np.int32)
     place[kept] = np.arange(1, len(kept) + 1)
     scale = np.concatenate([[0.0], ratio[kept]])
-    d, f = grams(texts, place)
-    x = scale[f]
+    found = []  # by run: the features of its texts one after the other, and the number of features of each text
+    for first, last in runs:
+        d, f = grams(texts[first:last], place)
+        found.append((first, last, f.astype(np.uint16 if len(scale) <= 1 << 16 else np.int32), np.bincount(d, minlength=last - first)))
+
+    def added(value: np.ndarray) -> np.ndarray:
+        """For each text the sum of its features' values."""
+        return np.concatenate([np.bincount(np.repeat(np.arange(b - a), n), weights=value[f], minlength=b - a) for a, b, f, n in found])
+
+    def gathered(value: np.ndarray) -> np.ndarray:
+        """For each feature the sum of its texts' values."""
+        out = np.zeros(len(scale))
+        for a, b, f, n in found:
+            out += np.bincount(f, weights=np.repeat(value[a:b], n), minlength=len(scale))
+        return out
+
     c = np.where(labels > 0, 0.5 / n1, 0.5 / n0)
     w, b = np.zeros(len(scale)), 0.0
     vw, vb, mw, mb = w.copy(), b, w.copy(), b
-    lip = 0.25 * float((c * np.bincount(d, weights=x * x, minlength=len(texts))).sum()) + ridge + 0.25
+    lip = 0.25 * float((c * added(scale * scale)).sum()) + ridge + 0.25
     for t in range(1, rounds + 1):
-        z = np.bincount(d, weights=x * vw[f], minlength=len(texts)) + vb
+        z = added(scale * vw) + vb
         r = c * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels)
-        gw = np.bincount(f, weights=x * r[d], minlength=len(scale)) + ridge * vw
+        gw = scale * gathered(r) + ridge * vw
         w, b = vw - gw / lip, vb - r.sum() / lip
         vw, vb = w + (t - 1) / (t + 2) * (w - mw), b + (t - 1) / (t + 2) * (b - mb)
         mw, mb = w, b
@@ -127,10 +157,11 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, longest: in
     rows = columns(docs, doc_id="long", text="string").filter(F.coalesce(F.length("text"), F.lit(0)) <= longest)
     held = rows.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")  # at most 12 * per_class ids
     wanted = save(held.groupBy("toxic", "doc_id").agg(F.min("text").alias("text")), "toxic-sample")
-    first = [wanted.filter(F.col("toxic") == k).orderBy(by_hash).limit(n) for k, n in most.items()]
-    sample = first[0].unionByName(first[1])
-    found = sample.select("doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text")).orderBy("doc_id").toPandas()
-    return fit(found["text"].tolist(), found["toxic"].to_numpy())
+    first = [wanted.select("toxic", "doc_id").filter(F.col("toxic") == k).orderBy(by_hash).limit(n) for k, n in most.items()]
+    sample = wanted.join(F.broadcast(first[0].unionByName(first[1])), ["toxic", "doc_id"])  # at most 3 * per_class ids
+    parts = sample.select("doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text")).repartition(16, "doc_id")
+    found = sorted(parts.toLocalIterator())  # a part at a time, so that the driver's heap never holds all texts
+    return fit([r["text"] for r in found], np.array([r["toxic"] for r in found], np.float64))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -138,16 +169,21 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # DIMS places
 
+    box = Box(docs)
+    same = dict(docs.dtypes)["text"] == "string"  # then each text goes to Python once
+    inner = box.rows if same else box.rows.withColumn("__text", box["text"].cast("string"))
+    where = f"c{box.names.index('text')}" if same else "__text"
+
     def scored(batches):
-        m = sent.value
-        for pdf in batches:
-            pdf["score"] = m.score(pdf["__text"].tolist())
-            yield pdf.drop(columns="__text")
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = [t or "" for t in batch.column(where).to_pylist()]
+            columns = [batch.column(n) for n in batch.schema.names if n != "__text"]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sent.value.score(texts))], names=[n for n in batch.schema.names if n != "__text"] + ["score"])
 
-    box = Box(docs)
-    inner = box.rows.withColumn("__text", F.coalesce(box["text"].cast("string"), F.lit("")))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in box.rows.schema.fields)
-    out = inner.mapInPandas(scored, fields + ", score double")
+    out = inner.mapInArrow(scored, fields + ", score double")
     return out.select(box.struct().alias("row"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
