@@ -83,3 +83,18 @@ def test_one_large_group(spark):
     found = near_dedup.near_groups(df, small=64, depth=2, pivots=8).collect()
     assert len(found) == len(rows)
     assert {r.component_id for r in found if r.doc_id < 1200} == {0} and sum(r.kept for r in found) == 4
+
+
+def test_hot_group_does_not_branch(spark, monkeypatch):
+    """A group of one component ends at its first node; a text that is near one member only is still found, and one near a lone text too."""
+    words = [f"w{i}" for i in range(200)]
+    sets = [[*words[:194], *(f"x{i}y{k}" for k in range(6))] for i in range(1200)]
+    near = [*words[25:194], *(f"x7y{k}" for k in range(6))]  # 0.875 of text 7, less of the others: 169 of 206
+    lone = [*words[:100], *(f"l{k}" for k in range(100))]  # in the group's nodes, but far from it
+    rows = [(i, " ".join(s)) for i, s in enumerate([*sets, near, lone, [*lone[:-5], "other"]])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    branched, before = [], near_dedup.branch
+    monkeypatch.setattr(near_dedup, "branch", lambda rows: branched.append(rows.count()) or before(rows))
+    found = {r.doc_id: r.component_id for r in near_dedup.near_groups(df, width=1, small=64, depth=3, pivots=8).collect()}
+    assert {found[i] for i in range(1201)} == {0} and found[1201] == found[1202] == 1201
+    assert sum(branched) == 0

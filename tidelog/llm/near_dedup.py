@@ -4,8 +4,9 @@ A document's set is its distinct shingles of ``width`` words. Texts with equal s
 smallest doc_id goes on. Every representative has ``SKETCH`` minwise tokens. In each of ``trees`` independent trees, or more,
 it starts at the root and follows, node by node, the token at a place that the node chooses: similar sets choose the
 same child with a probability of their similarity. Nodes of one document end; nodes of up to ``small`` documents are
-compared exhaustively by their sketches; larger ones branch again, up to ``depth`` times. What is then still
-too large gets first links by blocks that all hold the same few documents as pivots. In a block or small node a document
+compared exhaustively by their sketches; larger ones get first links by blocks that all hold the same few documents as pivots. Those
+whose documents these links make one component are done with, those with at most ``small`` documents outside the most frequent component end, and
+the others branch again, up to ``depth`` times; what is then still too large gets links by blocks again. In a block or small node a document
 proposes two partners that look similar enough: the node's hub (of the well connected documents the first by a hash, so that
 trees agree on it) and the one most like itself. Proposals are confirmed on the full
 sets and joined to components. Then all pairs are accounted for: in a node that stayed large the documents outside its
@@ -146,23 +147,47 @@ def needed(level: int, ratio: float, low: float, target: float) -> int:
     return n
 
 
-def grow(reps: DataFrame, first: int, trees: int, small: int, depth: int) -> tuple[list[DataFrame], list[DataFrame]]:
-    """The last nodes of ``trees`` trees from number ``first`` as rows (id, n, sig, tree, node, size, first), and (id, tree) of
-    those that branched; size: 0 of small nodes; first: of the first trees."""
-    rows, done, sunk = save(paths(reps, first, trees), "near-paths"), [], []
-    own = lambda df, size: df.select("id", "n", "sig", "tree", "node", size.cast("long").alias("size"), F.lit(first == 0).alias("first"))
+def sized(rows: DataFrame) -> DataFrame:
+    """``rows`` with the size of their node, without those that are alone."""
+    sizes = rows.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    return rows.join(sizes, ["tree", "node"])
+
+
+def named(rows: DataFrame, label: DataFrame | None) -> DataFrame:
+    """``rows`` with comp: their component by ``label`` (id, comp), or the document itself."""
+    if label is None:
+        return rows.withColumn("comp", F.col("id"))
+    return rows.join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+
+
+def mixed(large: DataFrame, label: DataFrame) -> DataFrame:
+    """The rows of those nodes in ``large`` that hold several components, with the number ``outside`` the most frequent one."""
+    counts = named(large, label).groupBy("tree", "node", "comp").agg(F.count(F.lit(1)).alias("k"))
+    main = counts.groupBy("tree", "node").agg((F.sum("k") - F.max("k")).alias("outside")).filter("outside > 0")
+    return large.join(main, ["tree", "node"])
+
+
+def grow(rows: DataFrame, label: DataFrame | None, first: bool, small: int, depth: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """The last nodes below ``rows`` (sized, of the level below the roots) as rows (id, n, sig, tree, node, size, first), and (id, tree) of
+    those that branched; size: 0 of small nodes; first: of the first trees, not tried yet.
+
+    A large node ends where all its documents are in one component already (nothing is left to find there), and where at most
+    ``small`` are outside the most frequent one, which then meet all the others."""
+    done, sunk = [], []
+    own = lambda df, size, new=first: df.select("id", "n", "sig", "tree", "node", size.cast("long").alias("size"), F.lit(new).alias("first"))
     for level in range(depth + 1):
-        sizes = rows.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-        rows = save(rows.join(sizes, ["tree", "node"]), f"near-level{level}")
         done.append(own(rows.filter(F.col("size") <= small), F.lit(0)))
         large = rows.filter(F.col("size") > small)
+        if label is None or large.isEmpty():  # there are labels as soon as there is a large node
+            break
+        large = save(mixed(large, label), f"near-mixed{level}")
+        few = F.col("outside") <= small if level < depth else F.lit(True)
+        done.append(own(large.filter(few), F.col("size"), first and level > 0))
+        large = large.filter(~few).drop("size", "outside")
         if large.isEmpty():
             break
-        if level == depth:
-            done.append(own(large, F.col("size")))
-        else:
-            sunk.append(large.select("id", "tree"))
-            rows = branch(large.drop("size"))
+        sunk.append(large.select("id", "tree"))
+        rows = save(sized(branch(large)), f"near-level{level + 1}")
     return done, sunk
 
 
@@ -195,17 +220,17 @@ def block_pairs(large: DataFrame, small: int) -> DataFrame:
     return met.select("id", "n", "sig", "tree", F.xxhash64("node", "b", "c").alias("node"))
 
 
-def last_nodes(reps: DataFrame, trees: int, small: int, depth: int, ratio: float, low: float, target: float) -> DataFrame:
+def last_nodes(reps: DataFrame, rows: DataFrame, label: DataFrame | None, at: int, small: int, depth: int, ratio: float, low: float, target: float) -> DataFrame:
     """Rows (id, n, sig, tree, node, size, first) of all trees' last nodes of two or more documents; size: 0 of nodes up to ``small``.
+    ``rows``: of the first ``at`` trees, sized; ``label``: the components that their large nodes have shown.
 
     Documents whose deepest node so far makes ``target`` need more trees than they had go on in as many more. The deepest counts for all
     trees of a document: those that end early do so by rare tokens, which its partners share less often. A pair of which one
     document stops has met the target by that one's nodes alone."""
     need = F.element_at(F.array(*[F.lit(needed(k, ratio, low, target)) for k in range(1, depth + 2)]), F.col("level").cast("int"))
-    at = max(trees, needed(1, ratio, low, target))
-    reps, first, out, sunk = reps.withColumn("had", F.lit(at)).withColumn("more", F.lit(at)), 0, [], []
+    reps, first, out, sunk = reps.withColumn("had", F.lit(at)), 0, [], []
     while True:
-        done, large = grow(reps, first, at, small, depth)
+        done, large = grow(rows, label, first == 0, small, depth)
         out += done
         sunk += large
         if not sunk:
@@ -216,6 +241,7 @@ def last_nodes(reps: DataFrame, trees: int, small: int, depth: int, ratio: float
         first, at = first + at, reps.agg(F.max("more")).first()[0]
         if not at:
             break
+        rows = save(sized(save(paths(reps, first, at), "near-paths")), "near-level0")
     return functools.reduce(DataFrame.unionByName, out)
 
 
@@ -384,27 +410,33 @@ def _numbered_groups(rows: DataFrame, width: int, percent: int, trees: int = 6,
     reps = classes.filter("n > 0").select(F.col("lead.rid").alias("id"), "n", "sig")
     ratio = percent / 100
     low = ratio - 3 * (ratio * (1 - ratio) / SKETCH) ** 0.5
-    every = settle(spark, "near-nodes", lambda: last_nodes(reps, trees, small, depth, ratio, low, target))
-    nodes, large = every.filter("size = 0").drop("size"), every.filter("size > 0")
-    none_large = large.isEmpty()
     texts = rows.select(F.col("rid").alias("id"), "text")
-    tried = nodes.filter("first").drop("first")
-    if not none_large:
-        tried = tried.unionByName(dealt(large.filter("first").drop("first"), small, pivots))
-    pairs = save(proposals(tried.withColumn("comp", F.col("id")), low, ratio), "near-pairs")
-    label = None
+    confirmed = lambda pairs: settle(spark, "near-confirmed", lambda: confirm(pairs, texts, width, percent))
+    joined = lambda links: settle(spark, "near-components", lambda: components(links))
+    at = max(trees, needed(1, ratio, low, target))
+    roots = settle(spark, "near-roots", lambda: sized(save(paths(reps.withColumn("more", F.lit(at)), 0, at), "near-paths")))
+    links, label, hot = None, None, roots.filter(F.col("size") > small)
+    if not hot.isEmpty():  # what large nodes show at once needn't branch
+        links = confirmed(save(proposals(named(dealt(hot, small, pivots), None), low, ratio), "near-pairs"))
+        label = joined(links)
+    every = settle(spark, "near-nodes", lambda: last_nodes(reps, roots, label, at, small, depth, ratio, low, target))
     if not every.isEmpty():
-        links = settle(spark, "near-confirmed", lambda: confirm(pairs, texts, width, percent))
-        label = settle(spark, "near-components", lambda: components(links))
-        name = lambda df: df.join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        named = name(nodes.drop("first"))
+        nodes, large = every.filter("size = 0").drop("size"), every.filter("size > 0")
+        none_large = large.isEmpty()
+        tried = nodes.filter("first").drop("first")
+        if not none_large:
+            tried = tried.unionByName(dealt(large.filter("first").drop("first"), small, pivots))
+        new = confirmed(save(proposals(named(tried, label), low, ratio), "near-pairs"))
+        links = new if links is None else links.unionByName(new)
+        label = joined(links)
+        open_nodes = named(nodes.drop("first"), label)
         if not none_large:
-            pairs_of_blocks = save(block_pairs(name(large.drop("first")), small), "near-blocks")
-            named = named.unionByName(name(pairs_of_blocks))
-        rest = save(undecided(named, low, ratio), "near-undecided")
+            pairs_of_blocks = save(block_pairs(named(large.drop("first"), label), small), "near-blocks")
+            open_nodes = open_nodes.unionByName(named(pairs_of_blocks, label))
+        rest = save(undecided(open_nodes, low, ratio), "near-undecided")
         if not rest.isEmpty():
             more = settle(spark, "near-confirmed", lambda: exhaust(rest, texts, width, percent, low))
-            label = settle(spark, "near-components", lambda: components(links.unionByName(more)))
+            label = joined(links.unionByName(more))
     # ids of rows to ids of documents: a component is named by its smallest lead
     leads = classes.select("digest", F.col("lead.rid").alias("id"), "lead", "n")
     if label is not None:
