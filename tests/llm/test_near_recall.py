@@ -98,3 +98,53 @@ def test_hot_group_does_not_branch(spark, monkeypatch):
     found = {r.doc_id: r.component_id for r in near_dedup.near_groups(df, width=1, small=64, depth=3, pivots=8).collect()}
     assert {found[i] for i in range(1201)} == {0} and found[1201] == found[1202] == 1201
     assert sum(branched) == 0
+
+
+def test_components_on_graphs(spark):
+    """Paths in any order, stars, trees, loops, double and reversed links, given at once or in two parts, against a flood."""
+    rng = random.Random(5)
+    for case in range(6):
+        names = rng.sample(range(10**12), 260) if case else list(range(260))
+        links = [(names[i], names[i + 1]) for i in range(99)] + [(names[100 + i], names[100]) for i in range(40)] + [(names[150 + i], names[150 + rng.randrange(i)]) for i in range(1, 60)]
+        links += [(names[rng.randrange(210, 260)], names[rng.randrange(210, 260)]) for _ in range(40)] + [(names[5], names[5])]
+        rng.shuffle(links)
+        links += [(b, a) for a, b in links[:20]] + links[:5]
+        later = links[200:] + [(names[99], names[120]), (names[149], names[210])]  # between components, and to an id without links
+        near = {i: {i} for i in {i for link in links + later for i in link}}
+        for a, b in links + later:
+            if near[a] is not near[b]:
+                near[a] |= near[b]
+                near |= dict.fromkeys(near[b], near[a])
+        df = [spark.createDataFrame(part, "a long, b long") for part in (links + later, links[:200], later)]
+        once = near_dedup.components(df[0])
+        twice = near_dedup.components(df[2], near_dedup.components(df[1]))
+        want = sorted((i, min(s)) for i, s in near.items())
+        assert sorted(map(tuple, once.select("id", "comp").collect())) == want
+        assert sorted(map(tuple, twice.select("id", "comp").collect())) == want
+
+
+def test_links_are_read_once(spark, monkeypatch):
+    """A large group's links are joined to components once: not by every call, and not both ways."""
+    words = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join([*words[:190], *(f"x{i}y{k}" for k in range(6))])) for i in range(1200)]  # 0.94 of each other
+    rows += [(1200 + i, " ".join([*(f"o{i // 2}y{k}" for k in range(60)), f"only{i}"])) for i in range(60)]  # pairs, which the first links don't show
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    given, read, calls, before, components = [], [], [], near_dedup.save, near_dedup.components
+
+    def save(df, tag):
+        out = before(df, tag)
+        if tag == "near-links":
+            read.append(out.count())
+        return out
+
+    def counted(links, *label):
+        given.append({tuple(r) for r in links.select("a", "b").collect()})
+        calls.append(len(given[-1]))
+        return components(links, *label)
+
+    monkeypatch.setattr(near_dedup, "save", save)
+    monkeypatch.setattr(near_dedup, "components", counted)
+    found = near_dedup.near_groups(df, small=64, depth=2, pivots=8).collect()
+    assert {r.doc_id: r.component_id for r in found} == {i: 0 if i < 1200 else i - i % 2 for i in range(1260)}
+    assert len(calls) > 1 and sum(calls) == len(set().union(*given))  # no link in two calls
+    assert sum(read) <= 1.2 * sum(calls), (read, calls)

@@ -379,18 +379,47 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     return with_a.join(used.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").mapInPandas(run, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(id, comp): for every end of ``links`` (a, b) the smallest id that it reaches; least-label steps with pointer jumps."""
-    both = save(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near-links")
-    label = save(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("comp")).withColumnRenamed("a", "id"), "near-labels")
+def contracted(links: DataFrame, label: DataFrame) -> DataFrame:
+    """``links`` (a, b) as links a > b between the components that ``label`` (id, comp) gives their ends, each once, none within one."""
+    of = lambda end: label.select(F.col("id").alias(end), F.col("comp").alias(f"{end}_comp"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b"))
+    return ends.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def roots(up: DataFrame) -> DataFrame:
+    """``up`` (id, comp: a smaller id) followed to its end for every id, by pointer jumps."""
+    while True:
+        over = up.select(F.col("id").alias("comp"), F.col("comp").alias("above"))
+        step = save(up.join(over, "comp", "left").select("id", F.coalesce("above", "comp").alias("comp"), F.col("above").isNotNull().alias("moved")), "near-labels")
+        up = step.select("id", "comp")
+        if step.filter("moved").isEmpty():
+            return up
+
+
+def components(links: DataFrame, label: DataFrame | None = None) -> DataFrame:
+    """(id, comp): for every end of ``links`` (a, b), and every id of ``label``, the smallest id that it reaches. ``label``: the components by
+    earlier links, which needn't be given again.
+
+    Each round hangs every id below its smallest neighbour, if that is smaller, and goes on with the links between the trees that come of it.
+    An id that stays on top twice running has had all its neighbours in its tree, so two rounds at least halve the ids with links."""
+    ids = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id")))
+    if label is None:
+        label = ids.distinct().withColumn("comp", F.col("id"))
+        links = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    else:
+        links = contracted(links, label)
+        label = ids.unionByName(label.select("id")).distinct().join(label, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
+    done = 0
     while True:
-        told = both.join(label.select(F.col("id").alias("b"), "comp"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("heard"))
-        step = label.join(told, "id").select("id", F.col("comp").alias("old"), F.least("comp", "heard").alias("comp"))
-        up = label.select(F.col("id").alias("comp"), F.col("comp").alias("above"))
-        step = save(step.join(up, "comp", "left").select("id", "old", F.least("comp", F.coalesce("above", "comp")).alias("comp")), "near-labels")
-        label = step.select("id", "comp")
-        if step.filter("old <> comp").isEmpty():
+        links = save(links, "near-links")
+        if links.isEmpty():
             return label
+        up = roots(save(links.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("comp")), "near-labels"))
+        links = contracted(links, up)
+        root = up.select(F.col("id").alias("comp"), F.col("comp").alias("root"))
+        label, done = label.join(root, "comp", "left").select("id", F.coalesce("root", "comp").alias("comp")), done + 1
+        if done % 4 == 0:  # a plan of a few joins
+            label = save(label, "near-labels")
 
 
 def near_groups(docs: DataFrame, width: int = 3, percent: int = 85, trees: int = 6, small: int = 512, depth: int = 6, pivots: int = 32, target: float = 0.99) -> DataFrame:
@@ -412,23 +441,20 @@ def _numbered_groups(rows: DataFrame, width: int, percent: int, trees: int = 6,
     low = ratio - 3 * (ratio * (1 - ratio) / SKETCH) ** 0.5
     texts = rows.select(F.col("rid").alias("id"), "text")
     confirmed = lambda pairs: settle(spark, "near-confirmed", lambda: confirm(pairs, texts, width, percent))
-    joined = lambda links: settle(spark, "near-components", lambda: components(links))
+    joined = lambda links, label=None: settle(spark, "near-components", lambda: components(links, label))
     at = max(trees, needed(1, ratio, low, target))
-    roots = settle(spark, "near-roots", lambda: sized(save(paths(reps.withColumn("more", F.lit(at)), 0, at), "near-paths")))
-    links, label, hot = None, None, roots.filter(F.col("size") > small)
+    top = settle(spark, "near-roots", lambda: sized(save(paths(reps.withColumn("more", F.lit(at)), 0, at), "near-paths")))
+    label, hot = None, top.filter(F.col("size") > small)
     if not hot.isEmpty():  # what large nodes show at once needn't branch
-        links = confirmed(save(proposals(named(dealt(hot, small, pivots), None), low, ratio), "near-pairs"))
-        label = joined(links)
-    every = settle(spark, "near-nodes", lambda: last_nodes(reps, roots, label, at, small, depth, ratio, low, target))
+        label = joined(confirmed(save(proposals(named(dealt(hot, small, pivots), None), low, ratio), "near-pairs")))
+    every = settle(spark, "near-nodes", lambda: last_nodes(reps, top, label, at, small, depth, ratio, low, target))
     if not every.isEmpty():
         nodes, large = every.filter("size = 0").drop("size"), every.filter("size > 0")
         none_large = large.isEmpty()
         tried = nodes.filter("first").drop("first")
         if not none_large:
             tried = tried.unionByName(dealt(large.filter("first").drop("first"), small, pivots))
-        new = confirmed(save(proposals(named(tried, label), low, ratio), "near-pairs"))
-        links = new if links is None else links.unionByName(new)
-        label = joined(links)
+        label = joined(confirmed(save(proposals(named(tried, label), low, ratio), "near-pairs")), label)
         open_nodes = named(nodes.drop("first"), label)
         if not none_large:
             pairs_of_blocks = save(block_pairs(named(large.drop("first"), label), small), "near-blocks")
@@ -436,7 +462,7 @@ def _numbered_groups(rows: DataFrame, width: int, percent: int, trees: int = 6,
         rest = save(undecided(open_nodes, low, ratio), "near-undecided")
         if not rest.isEmpty():
             more = settle(spark, "near-confirmed", lambda: exhaust(rest, texts, width, percent, low))
-            label = joined(links.unionByName(more))
+            label = joined(more, label)
     # ids of rows to ids of documents: a component is named by its smallest lead
     leads = classes.select("digest", F.col("lead.rid").alias("id"), "lead", "n")
     if label is not None:
