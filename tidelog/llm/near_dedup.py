@@ -30,12 +30,14 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import Box, columns, key_filter, maybe_in, save, settle, small_batches, with_null, without_null
+from tidelog.llm.common import Box, columns, key_filter, maybe_in, save, save_counted, settle, small_batches, with_null, without_null
 
 SKETCH = 64
+#: Links that one task joins to components, of 16 bytes each; more go by rounds until as many are left.
+AT_ONCE = 1 << 18
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _rng = np.random.default_rng(20240607)
 _A = _rng.integers(0, 2**63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -147,6 +149,13 @@ def needed(level: int, ratio: float, low: float, target: float) -> int:
     return n
 
 
+def save_tested(df: DataFrame, tag: str, test: str = "true") -> tuple[DataFrame, int]:
+    """:func:`save`, and the number of rows that meet ``test``; one job."""
+    seen = Observation()
+    out = save(df.observe(seen, F.count(F.when(F.expr(test), 1)).alias("n")), tag)
+    return out, int(seen.get["n"])
+
+
 def sized(rows: DataFrame) -> DataFrame:
     """``rows`` with the size of their node, without those that are alone."""
     sizes = rows.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
@@ -175,19 +184,19 @@ def grow(rows: DataFrame, label: DataFrame | None, first: bool, small: int, dept
     ``small`` are outside the most frequent one, which then meet all the others."""
     done, sunk = [], []
     own = lambda df, size, new=first: df.select("id", "n", "sig", "tree", "node", size.cast("long").alias("size"), F.lit(new).alias("first"))
+    in_large = label is not None and not rows.filter(F.col("size") > small).isEmpty()
     for level in range(depth + 1):
         done.append(own(rows.filter(F.col("size") <= small), F.lit(0)))
-        large = rows.filter(F.col("size") > small)
-        if label is None or large.isEmpty():  # there are labels as soon as there is a large node
+        if not in_large:  # there are labels as soon as there is a large node
             break
-        large = save(mixed(large, label), f"near-mixed{level}")
+        large, left = save_tested(mixed(rows.filter(F.col("size") > small), label), f"near-mixed{level}", f"outside > {small}")
         few = F.col("outside") <= small if level < depth else F.lit(True)
         done.append(own(large.filter(few), F.col("size"), first and level > 0))
-        large = large.filter(~few).drop("size", "outside")
-        if large.isEmpty():
+        if not left or level == depth:
             break
+        large = large.filter(~few).drop("size", "outside")
         sunk.append(large.select("id", "tree"))
-        rows = save(sized(branch(large)), f"near-level{level + 1}")
+        rows, in_large = save_tested(sized(branch(large)), f"near-level{level + 1}", f"size > {small}")
     return done, sunk
 
 
@@ -353,7 +362,8 @@ def exhaust(rows: DataFrame, texts: DataFrame, width: int, percent: int, low: fl
                         name[max(rx, ry)] = min(rx, ry)
             yield pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
-    filt = key_filter(rows.select("id").distinct(), "id", "near-filter")
+    ids, count = save_counted(rows.select("id").distinct(), "near-ids")
+    filt = key_filter(ids, "id", "near-filter", count)
     used = maybe_in(texts, "id", filt).filter("__maybe").select("id", "text")
     return _dealt(rows.join(used, "id")).mapInPandas(run, "a long, b long").distinct()
 
@@ -372,8 +382,8 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
                 keep.append(100 * both >= percent * (len(s) + len(t) - both))
             yield pdf.loc[keep, ["a", "b"]]
 
-    ends = save(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "near-ends")
-    filt = key_filter(ends, "id", "near-filter")
+    ends, count = save_counted(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "near-ends")
+    filt = key_filter(ends, "id", "near-filter", count)
     used = save(maybe_in(texts, "id", filt).filter("__maybe").select("id", "text"), "near-texts")
     with_a = pairs.join(used.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
     return with_a.join(used.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").mapInPandas(run, "a long, b long")
@@ -390,34 +400,67 @@ def roots(up: DataFrame) -> DataFrame:
     """``up`` (id, comp: a smaller id) followed to its end for every id, by pointer jumps."""
     while True:
         over = up.select(F.col("id").alias("comp"), F.col("comp").alias("above"))
-        step = save(up.join(over, "comp", "left").select("id", F.coalesce("above", "comp").alias("comp"), F.col("above").isNotNull().alias("moved")), "near-labels")
+        step = up.join(over, "comp", "left").select("id", F.coalesce("above", "comp").alias("comp"), F.col("above").isNotNull().alias("moved"))
+        step, moved = save_tested(step, "near-labels", "moved")
         up = step.select("id", "comp")
-        if step.filter("moved").isEmpty():
+        if not moved:
             return up
 
 
-def components(links: DataFrame, label: DataFrame | None = None) -> DataFrame:
+def lowest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ends of the links a - b but those that are their component's smallest, and that smallest."""
+    ids, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = place.reshape(2, -1)
+    up = np.arange(len(ids))
+    while len(x):
+        low = np.minimum(x, y)
+        np.minimum.at(up, x, low)
+        np.minimum.at(up, y, low)
+        while (up[up] != up).any():
+            up = up[up]
+        x, y = up[x], up[y]
+        x, y = x[x != y], y[x != y]
+    moved = np.flatnonzero(up != np.arange(len(ids)))
+    return ids[moved], ids[up[moved]]
+
+
+def joined_at_once(links: DataFrame) -> DataFrame:
+    """(id, comp) for every end of ``links`` (a, b) but the smallest of each component, from one task."""
+
+    def run(batches):
+        held = [pdf[["a", "b"]].to_numpy(np.int64) for pdf in batches]
+        both = np.concatenate([np.zeros((0, 2), np.int64), *held])
+        yield pd.DataFrame(dict(zip(("id", "comp"), lowest(both[:, 0], both[:, 1]), strict=True)))
+
+    return links.coalesce(1).mapInPandas(run, "id long, comp long")
+
+
+def components(links: DataFrame, label: DataFrame | None = None, at_once: int = AT_ONCE) -> DataFrame:
     """(id, comp): for every end of ``links`` (a, b), and every id of ``label``, the smallest id that it reaches. ``label``: the components by
     earlier links, which needn't be given again.
 
     Each round hangs every id below its smallest neighbour, if that is smaller, and goes on with the links between the trees that come of it.
-    An id that stays on top twice running has had all its neighbours in its tree, so two rounds at least halve the ids with links."""
+    An id that stays on top twice running has had all its neighbours in its tree, so two rounds at least halve the ids with links. At
+    most ``at_once`` links need no more rounds: one task joins them."""
     ids = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id")))
     if label is None:
         label = ids.distinct().withColumn("comp", F.col("id"))
-        links = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        links = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     else:
         links = contracted(links, label)
         label = ids.unionByName(label.select("id")).distinct().join(label, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
     done = 0
     while True:
-        links = save(links, "near-links")
-        if links.isEmpty():
+        links, left = save_tested(links, "near-links")
+        if not left:
             return label
-        up = roots(save(links.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("comp")), "near-labels"))
-        links = contracted(links, up)
+        few = left <= at_once
+        up = save(joined_at_once(links), "near-labels") if few else roots(save(links.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("comp")), "near-labels"))
         root = up.select(F.col("id").alias("comp"), F.col("comp").alias("root"))
         label, done = label.join(root, "comp", "left").select("id", F.coalesce("root", "comp").alias("comp")), done + 1
+        if few:
+            return label
+        links = contracted(links, up)
         if done % 4 == 0:  # a plan of a few joins
             label = save(label, "near-labels")
 

@@ -101,8 +101,8 @@ def fit(texts: list[str], labels: np.ndarray, most: int = 4096, floor: float = 3
         return Model(np.zeros(DIMS, np.int32), np.zeros(1), -40.0)
     df1, df0 = np.zeros(DIMS), np.zeros(DIMS)
     every = np.arange(1, DIMS + 1, dtype=np.int32)
-    runs = list(_runs([len(t) for t in texts], 1 << 19))
-    for first, last in runs:
+    lengths = [len(t) for t in texts]
+    for first, last in _runs(lengths, 1 << 16):  # here all n-grams are known, and their keys take many times the texts' bytes
         d, f = grams(texts[first:last], every)
         toxic = labels[first + d] > 0
         df1 += np.bincount(f[toxic] - 1, minlength=DIMS)
@@ -115,7 +115,7 @@ def fit(texts: list[str], labels: np.ndarray, most: int = 4096, floor: float = 3
     place = np.zeros(DIMS, np.int32)
     place[kept] = np.arange(1, len(kept) + 1)
     scale = np.concatenate([[0.0], ratio[kept]])
-    found = []  # by run: the features of its texts one after the other, and the number of features of each text
+    found, runs = [], list(_runs(lengths, 1 << 19))  # by run: the features of its texts one after the other, and the number of features of each text
     for first, last in runs:
         d, f = grams(texts[first:last], place)
         found.append((first, last, f.astype(np.uint16 if len(scale) <= 1 << 16 else np.int32), np.bincount(d, minlength=last - first)))
@@ -159,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, longest: in
     wanted = save(held.groupBy("toxic", "doc_id").agg(F.min("text").alias("text")), "toxic-sample")
     first = [wanted.select("toxic", "doc_id").filter(F.col("toxic") == k).orderBy(by_hash).limit(n) for k, n in most.items()]
     sample = wanted.join(F.broadcast(first[0].unionByName(first[1])), ["toxic", "doc_id"])  # at most 3 * per_class ids
-    parts = sample.select("doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text")).repartition(16, "doc_id")
+    parts = sample.select("doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text")).repartition(16)  # a job each
     found = sorted(parts.toLocalIterator())  # a part at a time, so that the driver's heap never holds all texts
     return fit([r["text"] for r in found], np.array([r["toxic"] for r in found], np.float64))
 
