@@ -37,6 +37,23 @@ def _rows(df: DataFrame, out) -> DataFrame:
     return df.select(*[c.alias(f"c{i}") for i, c in enumerate(out)])
 
 
+def _keeps(out, cols: list[Column]) -> bool:
+    """Whether ``out`` holds each of ``cols`` as it is, so that different rows stay different."""
+    out = out[1] if isinstance(out, tuple) and len(out) == 2 and isinstance(out[1], tuple) else out
+    out = out if isinstance(out, tuple) else (out,)
+    return all(any(o is c for o in out) for c in cols)
+
+
+def _only_filters(rows: DataFrame, source: DataFrame) -> bool:
+    """Whether ``rows`` are those of ``source`` that pass tests, as far as the plan shows it."""
+    plan, end = rows._jdf.queryExecution().analyzed(), source._jdf.queryExecution().analyzed()
+    while not plan.equals(end):
+        if plan.nodeName() != "Filter":
+            return False
+        plan = plan.child()
+    return True
+
+
 def antijoin(left: DataFrame, right: DataFrame, logic: Callable[..., tuple] | None = None) -> DataFrame:
     """Rows of ``left`` whose leading columns aren't a row of ``right``."""
     a = left.toDF(*[f"l{i}" for i in range(len(left.columns))])
@@ -56,16 +73,22 @@ class Variable:
         self.parts: list[DataFrame] = []
         self.recent_part: DataFrame | None = None
         self.pending: list[DataFrame] = []
+        #: Whether what is pending is one frame without equal rows.
+        self.pending_is_set = False
 
     def insert(self, rows) -> Variable:
         if not isinstance(rows, DataFrame):
             rows = self.spark.createDataFrame([r if isinstance(r, tuple) else (r,) for r in rows], self.empty.schema)
         fields = self.empty.schema.fields
-        self.pending.append(rows.toDF(*[f.name for f in fields]).select(*[F.col(f.name).cast(f.dataType) for f in fields]))
-        return self
+        return self._add(rows.toDF(*[f.name for f in fields]).select(*[F.col(f.name).cast(f.dataType) for f in fields]))
 
     extend = insert
 
+    def _add(self, rows: DataFrame, is_set: bool = False) -> Variable:
+        self.pending_is_set = is_set and not self.pending
+        self.pending.append(rows)
+        return self
+
     def stable(self) -> DataFrame:
         return union(self.parts) if self.parts else self.empty
 
@@ -84,7 +107,7 @@ class Variable:
         new, self.pending = union(self.pending), []
         self.recent_part = None
         if new is not None:
-            new = new.distinct()
+            new = new if self.pending_is_set else new.distinct()
             if self.distinct and self.parts:
                 new = without(new, self.stable())
             part, n = materialise(new)
@@ -93,9 +116,13 @@ class Variable:
 
     def complete(self) -> DataFrame:
         """All facts in order, once nothing is recent or pending."""
+        return self.facts().orderBy(*self.empty.columns)
+
+    def facts(self) -> DataFrame:
+        """All facts in any order, which takes no shuffle; once nothing is recent or pending."""
         if self.pending or self.recent_part is not None:
             raise RuntimeError(f"{self.name} isn't stable")
-        return self.stable().distinct().orderBy(*self.empty.columns)
+        return self.stable() if self.distinct or len(self.parts) == 1 else self.stable().distinct()
 
     def from_join(self, left: Variable | DataFrame, right: Variable | DataFrame, logic: Callable[..., tuple], keys: int = 1) -> Variable:
         """Insert ``logic`` of the pairs with a recent side (a DataFrame is stable). ``logic`` may return (condition, row)."""
@@ -103,23 +130,29 @@ class Variable:
         rs, rr = (right.stable(), right.recent_part) if isinstance(right, Variable) else (right, None)
         for a, b in ((lr, rs), (ls, rr), (lr, rr)):
             if a is not None and b is not None:
-                self.pending.append(join_helper(a, b, logic, keys).toDF(*self.empty.columns))
+                self._add(join_helper(a, b, logic, keys).toDF(*self.empty.columns))
         return self
 
     from_join_filtered = from_join
 
     def from_antijoin(self, source: Variable, right: DataFrame, logic: Callable[..., tuple] | None = None) -> Variable:
-        self.pending.append(antijoin(source.recent(), right, logic).toDF(*self.empty.columns))
-        return self
+        if source.recent_part is None:  # else all that is stable would be dealt out to be compared with nothing
+            return self
+        return self._add(antijoin(source.recent(), right, logic).toDF(*self.empty.columns), logic is None)
 
     def from_map(self, source: Variable, logic: Callable[..., tuple]) -> Variable:
+        if source.recent_part is None:
+            return self
         df = source.recent()
-        self.pending.append(_rows(df, logic(*[F.col(c) for c in df.columns])).toDF(*self.empty.columns))
-        return self
+        cols = [F.col(c) for c in df.columns]
+        out = logic(*cols)
+        return self._add(_rows(df, out).toDF(*self.empty.columns), _keeps(out, cols))
 
     def from_leapjoin(self, source: Variable, leapers: list, logic: Callable[..., tuple]) -> Variable:
-        self.pending.append(leapjoin(source.recent(), leapers, logic).toDF(*self.empty.columns))
-        return self
+        if source.recent_part is None:
+            return self
+        rows, is_set = _leapt(source.recent(), leapers, logic)
+        return self._add(rows.toDF(*self.empty.columns), is_set)
 
 
 class Iteration:
@@ -156,7 +189,18 @@ class Leaper:
 
 
 class ExtendWith(Leaper):
-    """Values under the source's key: proposes, or keeps those proposed that are present."""
+    """Values under the source's key: proposes, or keeps those proposed that are present. ``distinct``: no two rows of ``df`` are equal."""
+
+    def __init__(self, df: DataFrame, keys: Callable[..., tuple], distinct: bool = False):
+        super().__init__(df, keys)
+        self.distinct = distinct
+
+    def one_row_a_value(self, s: DataFrame, n: int) -> bool:
+        """Whether a row is joined with each value once: no equal rows, none that differ only in columns after the value or by types."""
+        keys = self.keys(*[F.col(f"s{i}") for i in range(n)])
+        kinds = [f.dataType for f in s.select(*(keys if isinstance(keys, tuple) else (keys,))).schema.fields]
+        own = [f.dataType for f in self.df.schema.fields]
+        return self.distinct and len(own) == len(kinds) + 1 and own[:-1] == kinds
 
     def extender(self, n: int, tag: str) -> Extender:
         keys = self.keys(*[F.col(f"s{i}") for i in range(n)])
@@ -213,11 +257,13 @@ class Passthrough(Leaper):
 
 
 class RelationLeaper:
-    def __init__(self, df: DataFrame):
-        self.df = df
+    """``distinct``: no two rows of ``df`` are equal. Else it is made so where it proposes."""
+
+    def __init__(self, df: DataFrame, distinct: bool = False):
+        self.df, self.distinct = df, distinct
 
     def extend_with(self, keys):
-        return ExtendWith(self.df, keys)
+        return ExtendWith(self.df if self.distinct else self.df.distinct(), keys, True)
 
     def extend_anti(self, keys):
         return ExtendAnti(self.df, keys)
@@ -235,6 +281,11 @@ def leapjoin(source: DataFrame, leapers: list, logic: Callable[..., tuple]) -> D
     Tests of the source run first, then for each row the extension with fewest values proposes, the other extensions keep what they
     have too, and the rest keep or drop. With no extension the rows go on without a value; an anti-extension alone has nothing to drop from.
     """
+    return _leapt(source, leapers, logic)[0].distinct()
+
+
+def _leapt(source: DataFrame, leapers: list, logic: Callable[..., tuple]) -> tuple[DataFrame, bool]:
+    """:func:`leapjoin` with equal rows left in, and whether there are none if ``source`` has none."""
     n = len(source.columns)
     s = source.toDF(*[f"s{i}" for i in range(n)])
     values = (ExtendWith, ExtendAnti, ValueFilter)
@@ -245,10 +296,14 @@ def leapjoin(source: DataFrame, leapers: list, logic: Callable[..., tuple]) -> D
     rest = [x for x in leapers if isinstance(x, values) and not isinstance(x, ExtendWith)]
     if rest and not extend:
         raise ValueError("nothing proposes values")
+    is_set = all(x.one_row_a_value(s, n) for x in extend)
     if extend:
         s = extended(s, "val", [x.extender(n, f"x{i}_") for i, x in enumerate(extend)])
     for x in rest:
         s = x.apply(s, n)
     for f in custom:
-        s = f(s)
-    return _rows(s, logic(*[F.col(c) for c in s.columns])).distinct()
+        before, s = s, f(s)
+        is_set = is_set and _only_filters(s, before)
+    cols = [F.col(c) for c in s.columns]
+    out = logic(*cols)
+    return _rows(s, out), is_set and _keeps(out, cols)
