@@ -8,7 +8,7 @@ from tidelog.engine import Engine
 from tidelog.functions.macros import make_symmetric, transitive_closure
 from tidelog.operators.core import Iteration, RelationLeaper, leapjoin
 from tidelog.operators.relation import Relation, from_rows
-from tidelog.plans.ir import NotStratifiableError, RuleError, agg, variables
+from tidelog.plans.ir import WILD, NotStratifiableError, RuleError, agg, variables
 
 x, y, z, s = variables("x y z s")
 
@@ -388,3 +388,25 @@ def test_leapjoin_of_sets_is_not_dealt_again(spark):
     while two.changed():
         dup.from_map(v, lambda a, b: (a, b)).from_map(v, lambda a, b: (b, a)).from_map(v, lambda a, b: (a, a + 1))
     assert [tuple(r) for r in dup.complete().collect()] == sorted({(a, b) for a, b in [(1, 2), (1, 3), (4, 2), (2, 1), (3, 1), (2, 4), (4, 5)]})
+
+
+def test_sets_are_not_made_distinct_again(spark):
+    """A head that holds all variables of sets, and an aggregate over them, need no distinct; where rows may repeat it stays."""
+    from tidelog.plans.compile import bindings, binds_once, heads_once
+    from tidelog.plans.ir import Rule
+
+    e = Engine(spark)
+    r, t, k = e.relation("r", E2, [(1, 2), (1, 3), (2, 4), (3, 4), (3, 5)]), e.relation("t", "a string, b bigint", [("2", 7), ("02", 7), ("3", 8)]), e.relation("k", "a bigint")
+    o3, o2, small, v = e.relation("o3", "a bigint, b bigint, c bigint"), e.relation("o2", E2), e.relation("small", "a int, b bigint, c bigint"), e.relation("v", E2)
+    total, s = variables("total s")
+    once = [Rule.of(o3(x, y, z), r(x, y), r(y, z)), Rule.of(o3(x, y, z), r(x, y), r(y, z), y > 2), Rule.of(o2(3, y), r(3, y))]
+    more = [Rule.of(o2(x, z), r(x, y), r(y, z)), Rule.of(k(x), r(x, WILD)), Rule.of(o3(x, y, z), r(x, y), t(y, z)), Rule.of(small(x, y, z), r(x, y), r(y, z)), Rule.of(k(y), t(2, y))]
+    assert all(heads_once(q, q.heads[0]) for q in once) and not any(heads_once(q, q.heads[0]) for q in more)
+    summed = Rule.of(v(x, s), r(x, y), r(y, z), agg(s, "sum", y, [x]))
+    assert _ops(bindings(summed, [r.take_pending() or r.df()] * 2, []), "Aggregate") == 1
+    r.insert([(1, 2), (1, 3), (2, 4), (3, 4), (3, 5), (3, 5)])
+    e.rule(o3(x, y, z), r(x, y), r(y, z)).rule(o2(x, z), r(x, y), r(y, z)).rule(v(x, s), r(x, y), r(y, z), agg(s, "sum", y, [x])).solve()
+    assert rows(o3) == [(1, 2, 4), (1, 3, 4), (1, 3, 5)] and rows(o2) == [(1, 4), (1, 5)] and rows(v) == [(1, 8)]
+    r.insert([(4, 6)])
+    e.solve()
+    assert rows(o3) == [(1, 2, 4), (1, 3, 4), (1, 3, 5), (2, 4, 6), (3, 4, 6)] and rows(v) == [(1, 8), (2, 4), (3, 4)] and binds_once(summed)
