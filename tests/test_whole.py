@@ -46,3 +46,32 @@ def test_whole_same_generation(spark, folder):
     got = {tuple(r) for r in catalog.queries()["same_generation"](spark, folder).collect()}
     ids = range(2, CUSTOMERS + 1)
     assert got == {(a, b) for a in ids for b in ids if a.bit_length() == b.bit_length()}
+
+
+def test_same_generation_writes_no_pairs(spark, tmp_path, monkeypatch):
+    """A forest with gaps: the pairs of the rules, of which none is written before the result; groups of more than one piece."""
+    from tidelog.engine import Engine
+    from tidelog.operators import relation
+    from tidelog.plans.ir import variables
+    from tidelog.sources import tables
+
+    keys = [c for c in range(0, 90) if c not in (1, 2, 7, 9, 33, 40)] + [88]
+    spark.createDataFrame([(c,) for c in keys], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    x, y, z, w = variables("x y z w")
+    e = Engine(spark)
+    r, o = e.relation("r", "a bigint, b bigint", catalog.hier(spark, str(tmp_path))), e.relation("o", "a bigint, b bigint")
+    e.rule(o(x, y), r(x, z), r(y, z)).rule(o(x, y), r(x, z), o(z, w), r(y, w)).solve()
+    want, most = sorted(map(tuple, o.df().collect())), [0]
+
+    def counted(df):
+        out, n = tables.materialise(df)
+        most[0] = max(most[0], n)
+        return out, n
+
+    monkeypatch.setattr(relation, "materialise", counted)
+    monkeypatch.setattr(catalog, "materialise", counted)
+    assert sorted(map(tuple, catalog.queries()["same_generation"](spark, str(tmp_path)).collect())) == want and 0 < most[0] <= len(keys)
+    spark.range(1, 2500).selectExpr("id AS c_custkey").write.parquet(f"{tmp_path}/more/customer.parquet")
+    got = catalog.queries()["same_generation"](spark, f"{tmp_path}/more")
+    ids = [sum(1 for i in range(2, 2500) if i.bit_length() == b) for b in range(2, 13)]
+    assert got.count() == got.distinct().count() == sum(n * n for n in ids)
