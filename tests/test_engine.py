@@ -410,3 +410,36 @@ def test_sets_are_not_made_distinct_again(spark):
     r.insert([(4, 6)])
     e.solve()
     assert rows(o3) == [(1, 2, 4), (1, 3, 4), (1, 3, 5), (2, 4, 6), (3, 4, 6)] and rows(v) == [(1, 8), (2, 4), (3, 4)] and binds_once(summed)
+
+
+def test_solve_sends_little(spark, monkeypatch):
+    """A relation whose file is small but not its rows isn't broadcast each round; the session's settings are as before after."""
+    from tidelog import engine
+    from tidelog.sources import tables
+
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before, plans = [spark.conf.get(k, None) for k in keys], []
+
+    def seen(df):
+        plans.append(df._jdf.sparkSession().sessionState().executePlan(df._jdf.queryExecution().logical(), df._jdf.queryExecution().mode()).executedPlan().toString())
+        return tables.materialise(df)
+
+    from tidelog.operators import relation
+
+    monkeypatch.setattr(relation, "materialise", seen)
+    monkeypatch.setattr(engine, "materialise", seen)
+    e = Engine(spark)
+    r, tc = e.relation("r", E2, spark.range(2, 60_000).selectExpr("id", "id div 200")), e.relation("tc", E2)
+    e.rule(tc(x, y), r(x, y)).rule(tc(x, z), tc(x, y), r(y, z)).solve()
+    want = {(a, b) for a in range(2, 60_000) for b in (a // 200, a // 40_000) if b == a // 200 or a // 200 > 1}
+    assert {tuple(t) for t in tc.df().collect()} == want
+    joins = [p for p in plans if "Join" in p]
+    assert joins and not any("BroadcastHashJoin" in p for p in joins) and [spark.conf.get(k, None) for k in keys] == before
+
+
+def test_heads_of_two_strata_share_a_final_body(spark):
+    """A body that grows through another relation of its stratum isn't taken from the first round for a head above it."""
+    e = Engine(spark)
+    r, p, q, top = e.relation("r", E2, [(1, 2), (2, 3), (3, 4)]), e.relation("p", "a bigint", [(1,)]), e.relation("q", "a bigint"), e.relation("top", "a bigint")
+    e.rule(q(y), p(x), r(x, y)).rule((p(x), top(x)), q(x)).solve()
+    assert rows(p) == [(1,), (2,), (3,), (4,)] and rows(top) == [(2,), (3,), (4,)]

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidelog.engine import Engine
 from tidelog.operators.relation import Relation
+from tidelog.sources.tables import few_sent
 
 
 def feed(stream: DataFrame, relation: Relation, engine: Engine, checkpoint: str, then: Callable[[int], None] | None = None, available_now: bool = False) -> StreamingQuery:
@@ -20,7 +21,8 @@ def feed(stream: DataFrame, relation: Relation, engine: Engine, checkpoint: str,
 
     def batch(df: DataFrame, number: int) -> None:
         relation.insert(df)
-        engine.solve()
+        with few_sent(df.sparkSession):  # a batch has a session of its own
+            engine.solve()
         if then:
             then(number)
 
