@@ -33,13 +33,46 @@ class _Stack(threading.local):
 _written = _Stack()
 
 
+#: Bytes of files for each task of a shuffle, and of shuffled data for tasks that are joined into one.
+TASK_FILES, TASK_SHUFFLED = 4 << 20, 16 << 20
+
+
+@contextlib.contextmanager
+def _set(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _bytes(spark: SparkSession, size: str) -> int:
+    return -1 if size.startswith("-") else int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(size))
+
+
+def _dealt(df: DataFrame) -> contextlib.AbstractContextManager[None]:
+    """Meanwhile shuffles have a number of tasks that grows with the files read, so that a task's sorts and hash tables don't, and rows
+    that are dealt out by some of a join's keys aren't dealt out again by all of them."""
+    spark, leaves = df.sparkSession, df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    read = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    count, joined = "spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    return _set(spark, {
+        count: str(max(int(spark.conf.get(count)), min(read // TASK_FILES, 4000))), joined: str(min(_bytes(spark, spark.conf.get(joined)), TASK_SHUFFLED)),
+        "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    })
+
+
 def materialise(df: DataFrame) -> tuple[DataFrame, int]:
     """``df`` written to the shared folder and read back, and its row count; one job. The lineage ends here."""
     seen = Observation()
     path = f"{shared_dir(df.sparkSession)}/facts-{uuid.uuid4().hex}"
     if _written.lists:
         _written.lists[-1].append((df.sparkSession, path))
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    with _dealt(df):
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._facts_path = path
     return out, int(seen.get["n"])
@@ -54,16 +87,10 @@ def few_sent(spark: SparkSession) -> Iterator[None]:
     """Meanwhile only small sides of joins are sent through the driver. Spark goes by the size of files, of which facts may take fifty
     times as much in memory, and a fixpoint would send them anew each round; what isn't sure to be small is measured in a shuffle first."""
     auto, measured = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
-    before = {k: spark.conf.get(k, None) for k in (auto, measured)}
-    size = lambda s: -1 if s.startswith("-") else int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(s))
-    own = size(spark.conf.get(auto))
-    spark.conf.set(auto, str(min(own, SENT_FILE)))
-    spark.conf.set(measured, str(min(size(before[measured]) if before[measured] else own, SENT_BYTES)))
-    try:
+    before = spark.conf.get(measured, None)
+    own = _bytes(spark, spark.conf.get(auto))
+    with _set(spark, {auto: str(min(own, SENT_FILE)), measured: str(min(_bytes(spark, before) if before else own, SENT_BYTES))}):
         yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def table_path(df: DataFrame) -> str | None:
