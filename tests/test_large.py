@@ -1,12 +1,42 @@
 """Steps whose cost must not outgrow their input: results against brute force, and the plans that keep the cost down."""
 
+from itertools import product
+
 from pyspark.sql import functions as F
 
+from tidelog.operators import core
+from tidelog.operators.core import RelationLeaper
+
 
 def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_checked_values_are_dealt_in_lists(spark):
+    """Values that others check are dealt out in lists and looked up unsorted, without a loss: nulls, equal rows, hubs, several checks."""
+    rows = [(a, b) for a, b in product(range(12), range(40)) if (a * 7 + b * b) % 5 < 2] + [(3, b) for b in range(100)] + [(50, None), (2, None), (None, 1), (3, 1)]
+    src = [(a, b) for a, b in rows if a is not None and b is not None and b < 13] + [(60, 50)]
+    df, s = spark.createDataFrame(rows, "x long, y long"), spark.createDataFrame(sorted(set(src)), "a long, b long")
+    under = lambda k: [v for a, v in set(rows) if a == k]
+    r = RelationLeaper(df)
+    both = [(a, b, v) for a, b in set(src) for v in under(b)]
+    cases = {
+        "anti": ([r.extend_with(lambda a, b: b), r.extend_anti(lambda a, b: a)], [t for t in both if t[2] is None or t[2] not in under(t[0])]),
+        "semi": ([r.extend_with(lambda a, b: b), r.extend_with(lambda a, b: a)], [t for t in both if t[2] is not None and t[2] in under(t[0])]),
+        "both": ([r.extend_with(lambda a, b: b), r.extend_with(lambda a, b: a), r.extend_anti(lambda a, b: a + 1)], [t for t in both if t[2] is not None and t[2] in under(t[0]) and t[2] not in under(t[0] + 1)]),
+    }
+    with core.few_sent(spark):
+        for name, (leapers, want) in cases.items():
+            out, _ = core._leapt(s, leapers, lambda a, b, v: (a, b, v))
+            got = [tuple(x) for x in out.collect()]
+            assert want and len(got) == len(want) and set(got) == set(want), name
+            assert "ShuffledHashJoin" in plan(out) and "Generate explode" in plan(out), name
+    double = spark.createDataFrame([(5.0, 7.0), (5.0, 7.0), (5.0, 8.0), (7.0, 8.0)], "x double, y double")  # of another kind than hashes serve: checked a row each
+    r = RelationLeaper(double)
+    out, _ = core._leapt(spark.createDataFrame([(7, 5)], "a long, b long"), [r.extend_with(lambda a, b: b), r.extend_anti(lambda a, b: a)], lambda a, b, v: (v,))
+    assert [x[0] for x in out.collect()] == [7.0] and "explode" not in plan(out)
+
+
 def test_tasks_of_a_shuffle_grow_with_the_files(spark, monkeypatch):
     from tidelog.sources import tables
 
