@@ -47,3 +47,63 @@ def test_tasks_of_a_shuffle_grow_with_the_files(spark, monkeypatch):
     assert tables.materialise(df.distinct())[1] == 1000 and seen == [int(before)]
     monkeypatch.setattr(tables, "TASK_FILES", 100)
     assert tables.materialise(df.distinct())[1] == 1000 and seen[1] > 20 and spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
+def test_last_join_in_lists(spark, monkeypatch):
+    """A large body's last join that leaves a variable out makes its rows distinct where they arise, once dealt out by the kept side."""
+    from tidelog.engine import Engine
+    from tidelog.operators import relation
+    from tidelog.plans import compile as plans
+    from tidelog.plans.ir import variables
+    from tidelog.sources.tables import materialise
+
+    monkeypatch.setattr(plans, "LISTS_FROM", 10)
+    seen = []
+    monkeypatch.setattr(relation, "materialise", lambda df: seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or materialise(df))
+    rows = {(a, b) for a, b in product(range(30), range(60)) if (a * a + 3 * b) % 7 < 2} 
+    small, rows = {(a, b) for a, b in rows if a < 12}, rows | {(5, b) for b in range(5000)}
+    x, y, z, w = variables("x y z w")
+    for null in (False, True):
+        e = Engine(spark)
+        more = {(None, 1), (1, None), (2, None)} if null else set()
+        r = e.relation("r", "a bigint, b bigint", sorted(rows | more, key=str), on_null="keep")
+        o, p, q = e.relation("o", "a bigint, b bigint"), e.relation("p", "a bigint, b bigint"), e.relation("q", "a bigint, b bigint, c bigint")
+        k = e.relation("k", "a bigint, b bigint", sorted(small))
+        o.on_null = p.on_null = q.on_null = "keep"
+        e.rule(o(x, y), r(x, z), r(y, z), x < y).rule(p(x, z), r(x, y), r(y, z)).rule(q(x, z, w), k(x, y), k(y, z), k(y, w)).solve()
+        assert sorted(map(tuple, q.df().collect())) == sorted({(a, c, d) for a, b in small for b2, c in small if b == b2 for b3, d in small if b == b3})
+        by = {}
+        for a, b in rows | more:
+            by.setdefault(a, []).append(b)
+        want = {(a, c) for a, b in rows | more if b is not None for c in by.get(b, [])}
+        assert sorted(map(tuple, p.df().collect()), key=str) == sorted(want, key=str)
+        under = {}
+        for a, b in rows | more:
+            under.setdefault(b, []).append(a)
+        pairs = {(a, c) for a, b in rows | more if b is not None for c in under[b] if a is not None and c is not None and a < c}
+        assert sorted(map(tuple, o.df().collect())) == sorted(pairs)
+    assert sum("in_values" in s for s in seen) >= 4
+
+
+def test_cyclic_bodies_are_reduced(spark, monkeypatch):
+    """Facts that can't be in a cycle go before paths are made of them; the results stay, also for unary atoms, constants and other kinds."""
+    from tidelog.engine import Engine
+    from tidelog.plans import compile as plans
+    from tidelog.plans.ir import variables
+    from tidelog.sources.tables import materialise
+
+    rows = {(a, b) for a, b in product(range(9), range(9)) if (a * 5 + b * 3) % 4 == 1} | {(a, 100 + b) for a, b in product(range(9), range(50))} | {(1000 + i, 1001 + i) for i in range(30)}
+    few, marked = {(a, b) for a, b in rows if b % 2}, {(i,) for i in range(0, 9, 2)}
+    x, y, z, w = variables("x y z w")
+    sizes = []
+    for bound in (1 << 60, 1):
+        monkeypatch.setattr(plans, "REDUCED_FROM", bound)
+        monkeypatch.setattr(plans, "materialise", lambda df: (lambda out: sizes.append(out[1]) or out)(materialise(df)))
+        e = Engine(spark)
+        r, f, m = e.relation("r", "a bigint, b bigint", sorted(rows)), e.relation("f", "a int, b int", sorted(few)), e.relation("m", "a bigint", sorted(marked))
+        s, t = e.relation("s", "a bigint, b bigint, c bigint, d bigint"), e.relation("t", "a bigint, b bigint, c bigint")
+        e.rule(s(x, y, z, w), r(x, y), r(y, z), r(z, w), r(w, x)).rule(t(x, y, z), r(x, y), f(y, z), r(z, x), m(z), r(x, 101)).solve()
+        two = {(a, b, c) for a, b in rows for d, c in rows if b == d}
+        assert sorted(map(tuple, s.df().collect())) == sorted((a, b, c, d) for a, b, c in two for c2, d in rows if c == c2 and (d, a) in rows)
+        assert sorted(map(tuple, t.df().collect())) == sorted((a, b, c) for a, b in rows for b2, c in few if b == b2 and (c, a) in rows and (c,) in marked and (a, 101) in rows)
+    assert sizes and min(sizes) <= 81 and len(sizes) < 20
