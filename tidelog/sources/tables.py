@@ -93,6 +93,13 @@ def few_sent(spark: SparkSession) -> Iterator[None]:
         yield
 
 
+def leaves_stay(df: DataFrame) -> bool:
+    """Whether all that ``df`` reads is too large to be planned as a broadcast, and reading it again gives the same rows."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    leaves, sent = plan.collectLeaves(), _bytes(df.sparkSession, df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold"))
+    return bool(plan.deterministic()) and all(int(leaves.apply(i).stats().sizeInBytes()) > sent for i in range(leaves.size()))
+
+
 def table_path(df: DataFrame) -> str | None:
     """Where ``df`` was written, if :func:`materialise` returned it."""
     return getattr(df, "_facts_path", None)
