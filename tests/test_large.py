@@ -191,3 +191,23 @@ def test_extended_sets_wait_to_be_written(spark, monkeypatch):
     src.insert(spark_rows).changed()
     src.changed()
     assert sorted(map(tuple, src.complete().collect())) == sorted(set(rows) | {(1, 2)})
+
+
+def test_rounds_send_only_what_is_tiny(spark, monkeypatch):
+    """A side measured in a shuffle is sent through the driver only if it is tiny, new rows only to a total of many times their number."""
+    from tidelog.operators import relation
+
+    left = spark.range(20_000).selectExpr("id AS a", "id div 2 AS b")
+    for most, sent in ((20_000, False), (100, True)):
+        with core.few_sent(spark):
+            out = core.join_helper(left, left.filter(F.col("a") < most), lambda k, v1, v2: (k, v1, v2))
+            assert len(out.collect()) == most and ("BroadcastHashJoin" in plan(out)) == sent
+    monkeypatch.setattr(relation, "LARGE_TOTAL", 50)
+    seen, broadcast = [], F.broadcast
+    monkeypatch.setattr(relation.F, "broadcast", lambda df: seen.append(df.count()) or broadcast(df))
+    r = relation.Relation(spark, "r", "a bigint").insert(spark.range(1000)).commit()
+    for low, high, sent in ((995, 1005, [10]), (900, 1100, []), (1095, 1101, [6])):
+        seen.clear()
+        r.insert(spark.range(low, high)).commit()
+        assert seen == sent and r.count == high
+    assert sorted(x.a for x in r.df().collect()) == list(range(1101))

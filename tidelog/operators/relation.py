@@ -14,8 +14,8 @@ from tidelog.sources.tables import SENT_BYTES, materialise, table_path
 
 #: Parts of a total before it is written anew as one.
 MOST_PARTS = 8
-#: From this many rows on a total isn't shuffled for new rows of at most ``SENT_BYTES``, which are broadcast to it instead.
-LARGE_TOTAL = 1_000_000
+#: From this many rows on a total isn't shuffled for new rows of at most ``SENT_BYTES`` that it has this many times over: they are broadcast to it.
+LARGE_TOTAL, SENT_OF = 1_000_000, 64
 
 
 @dataclass(frozen=True)
@@ -103,7 +103,7 @@ class Relation:
         new = rows if is_set else rows.distinct()
         if self.count >= LARGE_TOTAL:
             new, n = materialise(new)
-            if n * row_bytes(self.schema) <= SENT_BYTES:  # the total is read where it lies
+            if n * row_bytes(self.schema) <= SENT_BYTES and n * SENT_OF <= self.count:  # the total is read where it lies
                 known = same_rows(self.df(), F.broadcast(new), "left_semi")
                 new = same_rows(new, known, "left_anti")
             else:

@@ -78,18 +78,19 @@ def materialise(df: DataFrame) -> tuple[DataFrame, int]:
     return out, int(seen.get["n"])
 
 
-#: Files from which a join may be planned as a broadcast, and what a broadcast takes when its size has been measured.
+#: Of files or of rows that were measured, up to which a join's side is broadcast; and of new rows that are sent to a large total.
 SENT_FILE, SENT_BYTES = 64 << 10, 4 << 20
 
 
 @contextlib.contextmanager
 def few_sent(spark: SparkSession) -> Iterator[None]:
     """Meanwhile only small sides of joins are sent through the driver. Spark goes by the size of files, of which facts may take fifty
-    times as much in memory, and a fixpoint would send them anew each round; what isn't sure to be small is measured in a shuffle first."""
+    times as much in memory, and a fixpoint would send them anew each round; what isn't sure to be small is measured in a shuffle first,
+    and stays there unless it is tiny."""
     auto, measured = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
     before = spark.conf.get(measured, None)
     own = _bytes(spark, spark.conf.get(auto))
-    with _set(spark, {auto: str(min(own, SENT_FILE)), measured: str(min(_bytes(spark, before) if before else own, SENT_BYTES))}):
+    with _set(spark, {auto: str(min(own, SENT_FILE)), measured: str(min(_bytes(spark, before) if before else own, SENT_FILE))}):
         yield
 
 
